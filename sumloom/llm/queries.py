@@ -30,6 +30,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from sumloom.llm import source_mix, substring_dedup
+    from sumloom.llm import source_mix
 
-    return {"op8_substring_dedup": substring_dedup.ORACLE_SQL, "op10_source_mix": source_mix.ORACLE_SQL}
+    return {"op10_source_mix": source_mix.ORACLE_SQL}
