@@ -114,7 +114,13 @@ def _sign(bands: int, rows: int, k: int):
     return run
 
 
-SETS = "cls long, n long, sample array<long>, elements binary"
+SETS = "cls long, n long, sample array<long>, low binary, elements binary"
+#: Sets up to this size are sampled whole, larger ones where a shingle's hash divides by 8.
+WHOLE = 256
+
+
+def _sample(h: np.ndarray) -> np.ndarray:
+    return h if len(h) <= WHOLE else h[h % U64(8) == 0]
 
 
 def _sets(k: int):
@@ -127,9 +133,10 @@ def _sets(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([c for c, _ in rows], pa.int64()), pa.array([len(x) for _, x in rows], pa.int64()),
-                        pa.array([x[x % U64(8) == 0].view(np.int64) for _, x in rows], pa.list_(pa.int64())), pa.array([x.tobytes() for _, x in rows], pa.binary()),
+                        pa.array([_sample(x).view(np.int64) for _, x in rows], pa.list_(pa.int64())),
+                        pa.array([np.unique((_sample(x) >> U64(16)).astype(np.uint16)).tobytes() for _, x in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary()),
                     ],
-                    names=["cls", "n", "sample", "elements"],
+                    names=["cls", "n", "sample", "low", "elements"],
                 )
 
     return run
@@ -170,19 +177,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInArrow(_confirm(threshold), "a long, b long")
 
 
+def _alike(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int, threshold: int) -> bool:
+    """May two sets be similar, by 16 bits of the hashes of their samples? Both samples are whole or
+    drawn by hash. Slack: four merged values, or 4.6 standard deviations."""
+    if (n_x <= WHOLE) != (n_y <= WHOLE):
+        return True
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - common
+    slack = 4 if n_x <= WHOLE else 4 + 2 * np.sqrt(union)
+    return 100 * (common + slack) >= threshold * (union - slack)
+
+
 def _across(threshold: int):
     """Pairs of one block pair that lie in different components and may be similar enough."""
 
     def run(t: pa.Table) -> pa.Table:
         cls, root, n, u, side = (t.column(x).to_numpy() for x in ("cls", "root", "n", "u", "side"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(len(cls), -1)
+        low = [np.frombuffer(x, dtype=np.uint16) for x in t.column("low").to_pylist()]
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        # Classes that meet in several bands are paired in the first of them only.
+        lists, here = t.column("keys").combine_chunks(), t.column("key")[0].as_py()
+        flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(cls)), np.diff(lists.offsets.to_numpy()))
+        below, column = np.unique(flat[flat < here], return_inverse=True)
+        held = np.zeros((len(cls), len(below)), dtype=np.float32)
+        held[owner[flat < here], column] = 1
         a, b = [], []
         for i in left:
             j = right[(root[right] != root[i]) & (cls[right] != cls[i])]
             least, most = np.minimum(n[i] - u[i], n[j] - u[j]), np.maximum(n[i] + u[j], n[j] + u[i])
             j = j[100 * least >= threshold * most]
+            j = j[held[j] @ held[i] == 0] if len(j) else j
             j = j[(sig[j] == sig[i]).mean(axis=1) >= LEAST_AGREEMENT] if len(j) else j
+            j = j[[_alike(low[i], low[x], n[i], n[x], threshold) for x in j]] if len(j) else j
             a.append(np.minimum(cls[i], cls[j]))
             b.append(np.maximum(cls[i], cls[j]))
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
@@ -207,6 +234,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 75, bands: int
     sigs = signed.join(candidates, "cls", "left_semi").join(classes.select("cls", F.col("first_doc").alias("doc_id")), ["cls", "doc_id"], "left_semi").select("cls", "sig")
     sets = materialize(sets.join(sigs, "cls").dropDuplicates(["cls"]), "sets")
 
+    # A sample of long sets will do: it only chooses the centres.
     own = sets.select("cls", F.explode("sample").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("cls").alias("cls")).where("c = 1").groupBy("cls").agg(F.count("*").alias("own"))
     novelty = materialize(sets.select("cls", "n").join(own, "cls", "left").select("cls", (F.coalesce("own", F.lit(0)) / F.col("n")).alias("novelty")), "novelty")
     rated = members.join(novelty, "cls")
@@ -222,15 +250,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 75, bands: int
     doubtful = materialize(open_.select("cls").distinct(), "doubtful")
     unlike = sets.join(doubtful, "cls", "left_semi").select("cls", "elements").mapInArrow(_elements, "h long, cls long")
     unlike = unlike.groupBy("h").agg(F.count("*").alias("c"), F.min("cls").alias("cls")).where("c = 1").groupBy("cls").agg(F.count("*").alias("u"))
-    able = sets.join(unlike, "cls", "left").select("cls", "n", "sig", F.coalesce("u", F.lit(0)).alias("u")).where(f"100 * (n - u) >= {threshold} * n")
+    able = sets.join(unlike, "cls", "left").select("cls", "n", "sig", "low", F.coalesce("u", F.lit(0)).alias("u")).where(f"100 * (n - u) >= {threshold} * n")
     able = materialize(open_.join(materialize(able, "able"), "cls"), "able-open")
     counted = materialize(able.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "counted")
-    dealt = able.join(counted, "key").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    able = materialize(able.join(counted, "key"), "able-counted")
+    keys = able.groupBy("cls").agg(F.collect_set("key").alias("keys"))
+    dealt = able.join(keys, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # A block meets every block once: rows of the lower block are side 0, of the higher side 1, of one block alone 2.
     dealt = dealt.select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "cls", "root", "n", "u", "sig",
+        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "cls", "root", "n", "u", "sig", "low", "keys",
     )
     rest = dealt.groupBy("key", "i", "j").applyInArrow(_across(threshold), "a long, b long").distinct()
     links = _verified(materialize(rest, "rest"), sets, threshold)
