@@ -75,7 +75,10 @@ class Series:
 
     def packed(self) -> DataFrame:
         rows = self.df.groupBy(self.key).agg(F.array_sort(F.collect_list(F.struct(self.t, *self.dims))).alias("s"))
-        x = F.array(*[F.transform("s", lambda r, d=d: r[d]) for d in self.dims])
+        def values(d: str) -> Column:
+            return F.transform("s", lambda r: r[d])
+
+        x = F.array(*[values(d) for d in self.dims])
         return rows.select(F.col(self.key).alias("series_id"), x.alias("x"))
 
     @classmethod
