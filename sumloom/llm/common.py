@@ -144,13 +144,13 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", limit: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of a batch with about ``limit`` bytes of text each, whole documents always."""
+def chunks(batch: pa.RecordBatch, column: str = "text", limit: int | None = None, rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch with about ``limit`` bytes of text and ``rows`` documents at most, whole documents always."""
     limit = limit or CHUNK_BYTES
     buf, bounds = text_buffer(batch.column(batch.schema.get_field_index(column)))
     i, n = 0, len(bounds) - 1
     while i < n:
-        j = max(i + 1, min(i + CHUNK_ROWS, int(np.searchsorted(bounds, bounds[i] + limit, side="right")) - 1))
+        j = max(i + 1, min(i + rows, int(np.searchsorted(bounds, bounds[i] + limit, side="right")) - 1))
         yield batch.slice(i, j - i), buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         i = j
 

@@ -7,9 +7,9 @@ off. A document's score is the sum of natural logarithms over its words, and per
 
 Relational plan. Counting moves n-gram hashes of the whole corpus, so they move packed:
 
-1. documents are cut into *blocks* of words (hash sequence in a block dictionary), written once;
+1. documents are dealt into *blocks* of compressed text, written once;
 2. every block sends its distinct n-grams of each order with their counts to partitions of the hash
-   space, as sorted, delta-coded runs (about four bytes for an n-gram);
+   space, as sorted, delta-coded runs (about three and a half bytes for an n-gram);
 3. a partition is one slice of the count tables: it merges the runs of all blocks, adds up, and
    answers each run with the corpus counts of its n-grams;
 4. blocks join their answers back, look up the counts of each word's n-grams, and sum per document.
@@ -38,7 +38,7 @@ ALPHA = 0.4
 ORDER = 3
 HASH_BITS = 48
 #: Bytes of text in a block, and distinct n-grams of all blocks in a partition, about.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 PARTITION_GRAMS = 1_500_000
 _STEP = U64(0xD6E8FEB86659FD93)
 
@@ -98,46 +98,67 @@ def _unvarint(raw: bytes) -> np.ndarray:
 
 
 def _pack_run(h: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted distinct hashes and their counts."""
-    a = _varint(np.diff(h, prepend=U64(0)))
-    return len(a).to_bytes(8, "little") + a + zstandard.ZstdCompressor(level=1).compress(_varint(n))
+    """Sorted distinct hashes and their counts. The low 16 bits of the gaps are noise and stay as they
+    are; the rest and the counts compress."""
+    gaps = np.diff(h, prepend=U64(0))
+    deflate = zstandard.ZstdCompressor(level=1).compress
+    parts = [(gaps & U64(0xFFFF)).astype(np.uint16).tobytes(), deflate(_planes(gaps >> U64(16))), deflate(_varint(n))]
+    return b"".join(len(p).to_bytes(8, "little") for p in parts) + b"".join(parts)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of 48-bit numbers, lowest of all, then the next of all, ...: each plane compresses by itself."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
 
 
 def _unpack_run(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size = int.from_bytes(raw[:8], "little")
-    return np.cumsum(_unvarint(raw[8 : 8 + size]), dtype=U64), _unvarint(zstandard.ZstdDecompressor().decompress(raw[8 + size :]))
+    a, b, c = (int.from_bytes(raw[8 * i : 8 * i + 8], "little") for i in range(3))
+    inflate = zstandard.ZstdDecompressor().decompress
+    low = np.frombuffer(raw, dtype=np.uint16, count=a // 2, offset=24).astype(U64)
+    planes = np.frombuffer(inflate(raw[24 + a : 24 + a + b]), dtype=np.uint8).reshape(6, -1)
+    high = sum(planes[k].astype(U64) << U64(8 * k + 16) for k in range(6))
+    return np.cumsum(low + high, dtype=U64), _unvarint(inflate(raw[24 + a + b : 24 + a + b + c]))
 
 
-_BLOCK = "block string, n_words long, ids binary, first binary, dictionary binary, words binary"
+_BLOCK = "block string, n_words long, ids binary, bounds binary, texts binary"
 
 
 def _blocks(batches):
     """Documents to blocks. A block's name holds its task and place; blocks are written before use."""
-    deflate = zstandard.ZstdCompressor(level=1).compress
+    deflate = zstandard.ZstdCompressor(level=3).compress
     task, made = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for part, buf, bounds in chunks(batch, limit=BLOCK_BYTES):
-            words = Words(buf, bounds)
-            seen, code = np.unique(words.hash, return_inverse=True)
+        for part, buf, bounds in chunks(batch, limit=BLOCK_BYTES, rows=1 << 20):
             ids = part.column("doc_id")
             ids = np.stack([ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64)])
+            n_words = sum(len(w.hash) for w in _pieces(buf, bounds))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([f"{task}-{made}"]), pa.array([len(code)], pa.int64()), pa.array([deflate(ids.astype(np.int64).tobytes())], pa.binary()),
-                    pa.array([deflate(words.first.astype(np.int64).tobytes())], pa.binary()), pa.array([seen.tobytes()], pa.binary()), pa.array([deflate(code.astype(np.uint32).tobytes())], pa.binary()),
+                    pa.array([f"{task}-{made}"]), pa.array([n_words], pa.int64()), pa.array([deflate(ids.astype(np.int64).tobytes())], pa.binary()),
+                    pa.array([deflate(bounds.astype(np.int64).tobytes())], pa.binary()), pa.array([deflate(buf.tobytes())], pa.binary()),
                 ],
                 names=[x.split()[0] for x in _BLOCK.split(", ")],
             )
             made += 1
 
 
+def _pieces(buf: np.ndarray, bounds: np.ndarray):
+    """The words of a block, a few documents at a time: hashing takes many bytes for each byte of text."""
+    i, n = 0, len(bounds) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + (1 << 21), side="right")) - 1)
+        yield Words(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+        i = j
+
+
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids [2, document], first, word hashes) of a block."""
     inflate = zstandard.ZstdDecompressor().decompress
     ids = np.frombuffer(inflate(row["ids"]), dtype=np.int64).reshape(2, -1)
-    first = np.frombuffer(inflate(row["first"]), dtype=np.int64)
-    words = np.frombuffer(row["dictionary"], dtype=U64)[np.frombuffer(inflate(row["words"]), dtype=np.uint32)]
-    return ids, first, words
+    bounds = np.frombuffer(inflate(row["bounds"]), dtype=np.int64)
+    pieces = [(w.hash, w.counts) for w in _pieces(np.frombuffer(inflate(row["texts"]), dtype=np.uint8), bounds)]
+    first = np.concatenate([[0], np.cumsum(np.concatenate([c for _, c in pieces]))]) if pieces else np.zeros(1, np.int64)
+    return ids, first, np.concatenate([h for h, _ in pieces]) if pieces else np.empty(0, U64)
 
 
 def _cuts(parts: int) -> np.ndarray:
