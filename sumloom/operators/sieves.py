@@ -40,6 +40,10 @@ class Sieve:
     def shaped(self, x: np.ndarray) -> np.ndarray:
         return x
 
+    def shape_key(self) -> tuple:
+        """Sieves of one key have one ``shaped``."""
+        return ("as it is",)
+
     def shaped_long(self, s: Series, dim: str, tag: str) -> tuple[Series, str]:
         return s, dim
 
@@ -49,7 +53,8 @@ class Sieve:
     def labels(self) -> list[str]:
         return [f"{type(self).__name__}[{i}]" for i in range(len(self))]
 
-    def arrays(self, x: np.ndarray, raw: np.ndarray, fitted: tuple[float, ...] = ()) -> np.ndarray:
+    def arrays(self, x: np.ndarray, raw: np.ndarray, fitted: tuple[float, ...] = (), cache: dict | None = None) -> np.ndarray:
+        """``cache``: what sieves of the same derived series x share."""
         raise NotImplementedError
 
     def long(self, s: Series, dim: str, tag: str, fitted: tuple[float, ...] = ()) -> tuple[Series, list[Column]]:
@@ -88,6 +93,9 @@ class Segmented(Sieve):
         values = sorted(known[q] if q in known else next(rest) for q in self.edges)
         return list(zip(values[:-1], values[1:], strict=True))
 
+    def shape_key(self):
+        return ("inc", self.inc) if self.inc else ("as it is",)
+
     def shaped(self, x):
         for _ in range(abs(self.inc)):
             x = _increments(x) if self.inc > 0 else np.cumsum(x, axis=1)
@@ -134,14 +142,21 @@ class Segmented(Sieve):
         s = s.add({f"__cuts_{tag}": F.array_sort(F.array(*[c.cast("int") for c in cols]))})
         return s, [F.col(f"__cuts_{tag}")[i] for i in range(len(cols))]
 
-    def arrays(self, x, raw, fitted=()):
-        y, n, length = self.shaped(x), x.shape[0], x.shape[1]
-        at, t, out = self.places(raw, length, n), np.arange(length), []
-        bands = self.bands(fitted)
-        masks = []
-        for lo, hi in bands:
-            with np.errstate(invalid="ignore"):
-                masks.append((y > lo) & (y <= hi) if np.isfinite(lo) else (y <= hi) & ~np.isnan(y))
+    def arrays(self, x, raw, fitted=(), cache=None):
+        cache, key = {} if cache is None else cache, self.shape_key()
+        if key not in cache:
+            cache[key] = self.shaped(x)
+        y, n, length = cache[key], x.shape[0], x.shape[1]
+        masks, t, out = [], np.arange(length), []
+        for lo, hi in self.bands(fitted):
+            if (key, lo, hi) not in cache:
+                with np.errstate(invalid="ignore"):
+                    above = y > lo if np.isfinite(lo) else ~np.isnan(y)
+                    cache[key, lo, hi] = above & (y <= hi) if np.isfinite(hi) else above
+            masks.append(cache[key, lo, hi])
+        if self.cuts == (-1,):
+            return np.stack([self._reduce(y, m, t, m, None) for m in masks], axis=1)
+        at = self.places(raw, length, n)
         for j in range(len(self.cuts)):
             a, b = at[:, j : j + 1], at[:, j + 1 : j + 2]
             segment = (t >= a) & (t < b)
@@ -177,7 +192,7 @@ def _zero(c: Column) -> Column:
 
 
 def _count(mask: np.ndarray) -> np.ndarray:
-    return mask.sum(axis=1).astype(float)
+    return np.count_nonzero(mask, axis=1).astype(float)
 
 
 class MAX(Segmented):
@@ -219,6 +234,9 @@ class STD(Segmented):
 class CUR(Segmented):
     """Sum of squared second increments; bands are of second increments."""
 
+    def shape_key(self):
+        return ("curvature", self.inc)
+
     def shaped(self, x):
         return _increments(_increments(super().shaped(x)))
 
@@ -260,7 +278,9 @@ class END(Segmented):
     def asked(self):
         return ()
 
-    def arrays(self, x, raw, fitted=()):
+    def arrays(self, x, raw, fitted=(), cache=None):
+        if self.cuts == (-1,):
+            return x[:, -1:]
         at = self.places(raw, x.shape[1], x.shape[0])[:, 1:]
         return np.take_along_axis(x, (at - 1) % x.shape[1], axis=1)
 
@@ -291,7 +311,7 @@ class MPI(Incremental):
     """Mean of the values in the band."""
 
     def _reduce(self, y, mask, since, band, segment):
-        return np.where(mask, y, 0).sum(axis=1) / np.maximum(_count(mask), 1)
+        return np.where(mask, y, 0.0).sum(axis=1) / np.maximum(_count(mask), 1)
 
     def _reduce_long(self, s, x, mask, since, tag):
         return s, _zero(F.avg(F.when(mask, x)))
@@ -360,7 +380,7 @@ class PPV(Sieve):
         levels = sorted(levels)
         return [both(at_least(a), at_least(b)) for a, b in zip(levels[:-1], levels[1:], strict=True)]
 
-    def arrays(self, x, raw, fitted=()):
+    def arrays(self, x, raw, fitted=(), cache=None):
         with np.errstate(invalid="ignore"):
             return np.stack([self._value(f) for f in self.flags(fitted, lambda q: x >= q, lambda a, b: a & ~b)], axis=1)
 
@@ -407,10 +427,13 @@ class Wrapped(Sieve):
     def _outer(self, x: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
+    def shape_key(self):
+        return (type(self).__name__, getattr(self, "depth", 1), getattr(self, "shift", 1), self.inner.shape_key())
+
     def shaped(self, x):
         return self.inner.shaped(self._outer(x))
 
-    def arrays(self, x, raw, fitted=()):
+    def arrays(self, x, raw, fitted=(), cache=None):
         return self.inner.arrays(self._outer(x), raw, fitted)
 
 

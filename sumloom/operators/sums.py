@@ -111,19 +111,32 @@ class IteratedSums:
 
     # ------------------------------------------------------------------ array form
 
-    def arrays(self, x: np.ndarray, raw: np.ndarray | None = None) -> Iterator[np.ndarray]:
-        """[series, step] for each output. A node's running sum is kept while it has children to come."""
+    def arrays(self, x: np.ndarray, raw: np.ndarray | None = None, only: range | None = None) -> Iterator[np.ndarray]:
+        """[series, step] for each output, or for a range of them. A node's running sum is kept while it
+        has children to come; nodes that no output needs are left out."""
         ring, trie = self.semiring, self.trie
+        only = range(len(trie.emit)) if only is None else only
+        needed = set()
+        for k in only:
+            i = trie.emit[k]
+            while i >= 0 and i not in needed:
+                needed.add(i)
+                i = trie.nodes[i].parent
         g = None if self.weighting is None else self.weighting.array(x if raw is None else raw, x)
-        last_use = {n.parent: i for i, n in enumerate(trie.nodes)}
+        last_use = {trie.nodes[i].parent: i for i in sorted(needed)}
         wanted: dict[int, list[int]] = {}
-        for k, i in enumerate(trie.emit):
-            wanted.setdefault(i, []).append(k)
+        for k in only:
+            wanted.setdefault(trie.emit[k], []).append(k)
         held: dict[int, np.ndarray] = {}
         ready: dict[int, np.ndarray] = {}
-        nxt = 0
+        letters: dict = {}
+        nxt = only.start
         for i, n in enumerate(trie.nodes):
-            z = array_value(n.bracket, x, ring.additive)
+            if i not in needed:
+                continue
+            if n.bracket not in letters:
+                letters[n.bracket] = array_value(n.bracket, x, ring.additive)
+            z = letters[n.bracket]
             with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
                 if n.parent >= 0:
                     back = held[n.parent]
@@ -195,10 +208,13 @@ class CosineSums:
         seed, share = rule
         return np.random.default_rng([seed, length]).choice(length, int(share * length), replace=False)
 
-    def arrays(self, x: np.ndarray, raw: np.ndarray | None = None) -> Iterator[np.ndarray]:
-        length, s, k = x.shape[2], self.exponent, 0
+    def arrays(self, x: np.ndarray, raw: np.ndarray | None = None, only: range | None = None) -> Iterator[np.ndarray]:
+        length, s, k, letters = x.shape[2], self.exponent, 0, {}
         for w in self.words:
             for f in self.freqs:
+                if only is not None and k not in only:
+                    k += 1
+                    continue
                 angle = np.pi * np.arange(length) / (f * max(length - 1, 1))
                 parts = [np.cos(angle) ** r * np.sin(angle) ** (s - r) for r in range(s + 1)]
                 back = None
@@ -207,7 +223,9 @@ class CosineSums:
                         w1, b1, w2 = (np.asarray(v) for v in self.net[k])
                         c = np.einsum("h,hnt->nt", w2, np.maximum(np.einsum("hd,ndt->hnt", w1, x) + b1[:, None, None], 0))
                     else:
-                        c = array_value(b, x, False)
+                        if b not in letters:
+                            letters[b] = array_value(b, x, False)
+                        c = letters[b]
                     z = c if back is None else c * back
                     if self.dropped and not self.net:
                         z = z.copy()

@@ -25,6 +25,7 @@ from sumloom.series import Series
 WINDOW_SUMS = 24
 #: Series in the sample that quantiles are fitted on, at most; it is collected.
 MAX_FIT_SERIES = 2000
+FIT_TASKS = 64
 
 
 @dataclass(frozen=True)
@@ -59,8 +60,9 @@ class Slice:
             x = p.arrays(x, raw)
         return x
 
-    def derived(self, x: np.ndarray, raw: np.ndarray, level: int = 0) -> Iterator[np.ndarray]:
-        for y in self.sums[level].arrays(x, raw):
+    def derived(self, x: np.ndarray, raw: np.ndarray, level: int = 0, only: range | None = None) -> Iterator[np.ndarray]:
+        """``only``: a range of outputs of the first sums."""
+        for y in self.sums[level].arrays(x, raw, only):
             if level + 1 < len(self.sums):
                 yield from self.derived(y[:, None], raw, level + 1)
             else:
@@ -76,7 +78,8 @@ class Slice:
     def features(self, raw: np.ndarray) -> np.ndarray:
         out = []
         for k, y in enumerate(self.derived(self.prepare(raw), raw)):
-            out += [sieve.arrays(y, raw, self.fitted.get((k, i), ())) for i, sieve in enumerate(self.sieves)]
+            cache: dict = {}
+            out += [sieve.arrays(y, raw, self.fitted.get((k, i), ()), cache) for i, sieve in enumerate(self.sieves)]
         return np.concatenate(out, axis=1)
 
     def series(self, s: Series) -> Series:
@@ -211,18 +214,22 @@ def _fit_quantiles(spark, s: Slice, sample: DataFrame, seed: int) -> dict:
     if not groups:
         return {}
     asked = [(i, v.asked()) for i, v in enumerate(s.sieves) if v.asked()]
-    tasks = min(16, s.sums[0].trie.emit.__len__() if isinstance(s.sums[0], IteratedSums) else len(s.sums[0]))
+    first, inner = len(s.sums[0]), s.n_sums // max(len(s.sums[0]), 1)
+    tasks = min(first, FIT_TASKS)
 
     def run(batches):
         for batch in batches:
             for task in batch.column(0).to_pylist():
-                sets: dict[tuple[int, int], list[np.ndarray]] = {}
-                for raw in groups:
-                    for k, y in enumerate(s.derived(s.prepare(raw), raw)):
-                        if k % tasks == task:
-                            for i, _ in asked:
-                                sets.setdefault((k, i), []).append(s.sieves[i].shaped(y).ravel())
-                out = [(k, i, np.quantile(np.concatenate(v), dict(asked)[i])) for (k, i), v in sets.items()]
+                # Neighbours in the trie share their beginnings, so a task takes a run of outputs, one by one.
+                own, out = range(first * task // tasks, first * (task + 1) // tasks), []
+                streams = [s.derived(s.prepare(raw), raw, 0, own) for raw in groups]
+                for k, ys in enumerate(zip(*streams, strict=True), own.start * inner):
+                    shaped: dict = {}
+                    for i, qs in asked:
+                        key = s.sieves[i].shape_key()
+                        if (key, qs) not in shaped:
+                            shaped[key, qs] = np.quantile(np.concatenate([s.sieves[i].shaped(y).ravel() for y in ys]), qs)
+                        out.append((k, i, shaped[key, qs]))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2].tolist() for x in out], pa.list_(pa.float64()))], names=["k", "i", "v"])
 
     found = spark.range(0, tasks, 1, tasks).mapInArrow(run, "k int, i int, v array<double>").collect()
