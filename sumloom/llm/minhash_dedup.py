@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumloom.llm.common import LOWER, U64, Words, chunks, grams, materialize, mix, powers, table
+from sumloom.llm.common import LOWER, U64, Words, chunks, deflated, grams, inflate, materialize, mix, powers, table
 from sumloom.llm.components import connected_components
 
 #: At similarity 0.75 a pair shares no band with probability (1 - 0.75**5)**36 = 6e-5.
@@ -126,7 +126,7 @@ def _sample(h: np.ndarray) -> np.ndarray:
 def _sets(k: int):
     def run(batches):
         for batch in batches:
-            for _, buf, bounds in chunks(batch):
+            for _, buf, bounds in chunks(inflate(batch)):
                 h, at = shingle_sets(Words(buf, bounds, LOWER), k)
                 cls, _ = _set_hashes(h, at)
                 rows = [(int(cls[i].view(np.int64)), h[at[i] : at[i + 1]]) for i in range(len(cls)) if at[i + 1] > at[i]]
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 75, bands: int
     members = materialize(banded.join(shared, "key").distinct(), "members")
     candidates = materialize(members.select("cls").distinct(), "candidates")
     first = classes.join(candidates, "cls", "left_semi").where("first_doc is not null").select(F.col("first_doc").alias("doc_id")).distinct()
-    sets = texts.join(first, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(k), SETS)
+    sets = deflated(texts).join(first.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k), SETS)
     sigs = signed.join(candidates, "cls", "left_semi").join(classes.select("cls", F.col("first_doc").alias("doc_id")), ["cls", "doc_id"], "left_semi").select("cls", "sig")
     sets = materialize(sets.join(sigs, "cls").dropDuplicates(["cls"]), "sets")
 
