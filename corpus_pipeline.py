@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumloom.llm import decontaminate, minhash_dedup, pii, quality, source_mix
-from sumloom.llm.common import materialize, table
+from sumloom.llm.common import keep_ids, materialize, table
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates, the document with the smallest id. Rows that share that
     very id stay together."""
     kept = materialize(minhash_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return keep_ids(docs, kept, "kept_id")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
