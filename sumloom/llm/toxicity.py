@@ -1,9 +1,10 @@
 """Toxicity by gradient-boosted trees over dense features, calibrated by isotonic regression.
 
 Features of a text: densities of a lexicon (a short fixed list, and words and five-byte stems
-learned from one half of the training rows), nearness of its hits to second-person words, rates of
+learned from the training rows), nearness of its hits to second-person words, rates of
 capitals, exclamation and other marks, and of obfuscated words (digits or marks for letters, letters
-drawn out). Trees are fitted on the other half, calibration on rows that the trees have not seen.
+drawn out). Trees are fitted on features from lexicons that the other half of the training rows has
+taught, the calibration on rows that the trees have not seen.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0, at most ``max_train``
 of them (by a hash of doc_id). Texts are the only input of a score.
@@ -179,9 +180,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed: in
         toxic, n = sum(r.t for r in sizes), sum(r.n for r in sizes)
         if toxic in (0, n):
             return Scorer(None, None, None, None, toxic / n if n else 0.0)
-        first = {r.half: r for r in sizes}.get(True)
-        words_lex, stems_lex = _lexicons(rows.where(half).select("text", "toxic"), first.t if first else 0, first.n - first.t if first else 0)
-        got = rows.where(~half).select("doc_id", "text", "toxic").mapInArrow(_featured(words_lex, stems_lex), "doc_id long, toxic int, x array<double>").toArrow()
+        by = {r.half: (r.t, r.n - r.t) for r in sizes}
+        parts = []
+        for learn, use in ((half, ~half), (~half, half)):  # each half is looked up in what the other taught
+            lexicons = _lexicons(rows.where(learn).select("text", "toxic"), *by.get(learn is half, (0, 0)))
+            parts.append(rows.where(use).select("doc_id", "text", "toxic").mapInArrow(_featured(*lexicons), "doc_id long, toxic int, x array<double>").toArrow())
+        words_lex, stems_lex = _lexicons(rows.select("text", "toxic"), toxic, n - toxic)
+        got = pa.concat_tables(parts)
     finally:
         rows.unpersist()
     x, y, ids = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, len(NAMES)), got.column("toxic").to_numpy().astype(float), got.column("doc_id").to_numpy()
