@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from sumloom.functions.paths import coquantile_array, coquantile_column, path_array, path_column
@@ -50,20 +50,25 @@ def _steps(size, length: int, ceil: bool = True, least: int = 0) -> int:
     return int(size)
 
 
-def _at(s: Series, x: Column, shift: Column | int) -> Column:
-    """x at t - shift where the shift is a column: from the series as an array."""
-    every = F.array_sort(F.collect_list(F.struct(F.col(s.t), x.alias("v"))).over(s.whole))
-    i = F.col(s.t) - shift
-    return F.when((i >= 0) & (i < F.size(every)), F.get(every, i.cast("int"))["v"])
-
-
-def _lag(s: Series, x: Column, size, ceil: bool = True, least: int = 0) -> Column:
-    """x some steps before; null where there is none."""
+def _with_shift(s: Series, size, ceil: bool = True, least: int = 0) -> Series:
+    """Adds the number of steps as __k, and __r = t mod k: in the rows of one series and one __r, the
+    neighbour is k steps away, so a shift that differs from series to series is a plain lag. The
+    windows keep the partitioning by series."""
     if callable(size):
         raise ValueError("a width that is a function of the length needs the array form")
-    if isinstance(size, float):
-        return _at(s, x, _steps_column(size, s.length, ceil, least))
-    return F.lag(x, int(size)).over(s.steps)
+    s = s.add({"__k": _steps_column(size, s.length, ceil, least)})
+    return s.add({"__r": F.pmod(F.col(s.t), F.greatest("__k", F.lit(1)))})
+
+
+def _without_shift(s: Series) -> Series:
+    return replace(s, df=s.df.drop("__k", "__r"))
+
+
+def _shifted(s: Series, x: Column | str, ahead: bool = False) -> Column:
+    """x at t - k (or t + k), null outside the series. For k = 0, x itself."""
+    w = Window.partitionBy(s.key, "__r").orderBy(s.t)
+    far = F.lead(x).over(w) if ahead else F.lag(x).over(w)
+    return F.when(F.col("__k") == 0, F.col(x) if isinstance(x, str) else x).otherwise(far)
 
 
 @dataclass(frozen=True)
@@ -78,9 +83,12 @@ class INC(Preparateur):
     def series(self, s):
         first = {f"__o{d}": F.col(d) for d in s.dims} if not self.zero_padding else {}
         s = s.add(first) if first else s
+        fixed = isinstance(self.shift, int)
+        s = s if fixed else _with_shift(s, self.shift)
         for _ in range(self.depth):
-            s = s.swap({d: F.coalesce(F.col(d) - _lag(s, F.col(d), self.shift), F.lit(0.0) if self.zero_padding else F.col(f"__o{d}")) for d in s.dims})
-        return replace(s, df=s.df.drop(*first))
+            back = {d: F.lag(d, self.shift).over(s.steps) if fixed else _shifted(s, d) for d in s.dims}
+            s = s.swap({d: F.coalesce(F.col(d) - back[d], F.lit(0.0) if self.zero_padding else F.col(f"__o{d}")) for d in s.dims})
+        return replace(s if fixed else _without_shift(s), df=s.df.drop(*first, "__k", "__r"))
 
     def arrays(self, x, raw=None):
         k, out = min(_steps(self.shift, x.shape[2]), x.shape[2]), x
@@ -146,12 +154,11 @@ class MAV(Preparateur):
         if self.width == -1:
             return s.swap({"x1": sum((F.col(d) for d in s.dims[1:]), F.col(s.dims[0])) / len(s.dims)})
         if isinstance(self.width, float):
-            w = F.greatest(_steps_column(self.width, s.length, ceil=False), F.lit(1))
             total = {f"__c{d}": F.sum(d).over(s.upto) for d in s.dims}
-            s = s.add(total).add({"__w": w})
-            back = lambda d: F.coalesce(_at(s, F.col(f"__c{d}"), F.col("__w")), F.lit(0.0))
-            out = s.swap({d: F.when(F.col(s.t) >= F.col("__w") - 1, (F.col(f"__c{d}") - back(d)) / F.col("__w")).otherwise(0.0) for d in s.dims})
-            return replace(out, df=out.df.drop("__w", *total))
+            s = _with_shift(s.add(total), self.width, ceil=False, least=1)
+            back = lambda d: F.coalesce(_shifted(s, f"__c{d}"), F.lit(0.0))
+            out = s.swap({d: F.when(F.col(s.t) >= F.col("__k") - 1, (F.col(f"__c{d}") - back(d)) / F.col("__k")).otherwise(0.0) for d in s.dims})
+            return replace(out, df=out.df.drop("__k", "__r", *total))
         w = s.steps.rowsBetween(-(self.width - 1), 0)
         return s.swap({d: F.when(F.col(s.t) >= self.width - 1, F.avg(d).over(w)).otherwise(0.0) for d in s.dims})
 
@@ -420,11 +427,10 @@ class CTS(Preparateur):
     def series(self, s):
         if self.pseudo_shift:
             return s.swap({d: F.when(F.col(s.t) < _steps_column(self.s, s.length, ceil=False, least=1), 0.0).otherwise(F.col(d)) for d in s.dims})
-        if isinstance(self.s, float):
-            ahead = lambda d: _at(s, F.col(d), -_steps_column(self.s, s.length, ceil=False, least=1))
-        else:
-            ahead = lambda d: F.lead(d, self.s).over(s.steps)
-        return s.swap({d: F.coalesce(ahead(d), s.last(d)) for d in s.dims})
+        if not isinstance(self.s, float):
+            return s.swap({d: F.coalesce(F.lead(d, self.s).over(s.steps), s.last(d)) for d in s.dims})
+        s = _with_shift(s, self.s, ceil=False, least=1)
+        return _without_shift(s.swap({d: F.coalesce(_shifted(s, d, True), s.last(d)) for d in s.dims}))
 
     def arrays(self, x, raw=None):
         k = min(_steps(self.s, x.shape[2], ceil=False, least=1), x.shape[2])
