@@ -24,9 +24,11 @@ class Series:
     def ordered(cls, df: DataFrame, key: str, order: list[str], dims: list[str]) -> Series:
         """From rows in the order of some columns, which should tell all rows of a key apart."""
         names = [f"x{i + 1}" for i in range(len(dims))]
-        w = Window.partitionBy(key).orderBy(*order)
-        cols = [F.col(key).alias("series_id"), (F.row_number().over(w) - 1).alias("t"), *[F.col(d).cast("double").alias(n) for d, n in zip(dims, names, strict=True)]]
-        return cls(df.select(*cols), tuple(names))
+        # The key gets its name first, so that the numbering deals by the column that all later windows deal by.
+        place = [F.col(c).alias(f"__o{i}") for i, c in enumerate(order)]
+        rows = df.select(F.col(key).alias("series_id"), *place, *[F.col(d).cast("double").alias(n) for d, n in zip(dims, names, strict=True)])
+        w = Window.partitionBy("series_id").orderBy(*[f"__o{i}" for i in range(len(order))])
+        return cls(rows.select("series_id", (F.row_number().over(w) - 1).alias("t"), *names), tuple(names))
 
     @classmethod
     def arrays(cls, df: DataFrame, key: str, dims: list[str]) -> Series:
