@@ -7,6 +7,7 @@ word a 64-bit hash from one prefix sum over the bytes, with no Python loop over
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 U64 = np.uint64
+_LIBC = ctypes.CDLL(None)
 #: Bytes of text that the kernel handles at once; a longer document makes a longer chunk.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: Documents that the kernel handles at once.
 CHUNK_ROWS = 4096
 
@@ -98,7 +100,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = 1 << max(10, (n - 1).bit_length())
         steps = np.full(size, base & (2**64 - 1), dtype=U64)
         steps[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(steps)
@@ -183,6 +185,13 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _give_back() -> None:
+    """Free memory goes back to the system: workers live on between tasks, and an executor's are many."""
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int | None = None, rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with about ``limit`` bytes of text and ``rows`` documents at most, whole documents always."""
     limit = limit or CHUNK_BYTES
@@ -192,6 +201,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int | None = None
         j = max(i + 1, min(i + rows, int(np.searchsorted(bounds, bounds[i] + limit, side="right")) - 1))
         yield batch.slice(i, j - i), buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         i = j
+    _give_back()
 
 
 def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
