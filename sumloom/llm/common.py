@@ -7,7 +7,9 @@ word a 64-bit hash from one prefix sum over the bytes, with no Python loop over
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,6 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
             found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
         else:
             found = tempfile.mkdtemp(prefix="sumloom-shared-")
+            atexit.register(shutil.rmtree, found, True)
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 

@@ -86,17 +86,19 @@ class Index:
             held = min(length[k], length[k] / 2 + PASSAGE / 4, PASSAGE)
             self.threshold[k] = share * impact[item == k].sum() * held / max(length[k], 1)
         self.n_blocks = -(-n // BLOCK_ITEMS)
-        self.block_max = np.zeros((len(self.terms) + 1, self.n_blocks), dtype=np.float32)  # the last row: no term
-        np.maximum.at(self.block_max, (term, item // BLOCK_ITEMS), np.nextafter(impact.astype(np.float32), np.float32(np.inf)))
+        # The largest impact of each term in each block that holds it, by term and block.
+        self.pair, at = np.unique(term * max(self.n_blocks, 1) + item // BLOCK_ITEMS, return_inverse=True)
+        self.block_bound = np.zeros(len(self.pair))
+        np.maximum.at(self.block_bound, at, impact)
         self.block_threshold = np.array([self.threshold[b * BLOCK_ITEMS : (b + 1) * BLOCK_ITEMS].min() for b in range(self.n_blocks)])
         # Bounds take the terms of most items from a matrix, each once a passage, and the others,
         # which a passage seldom has, from their lists of blocks.
         self.rank = np.full(len(self.terms) + 1, -1, dtype=np.int64)
         often = np.argsort(-df, kind="stable")[:COMMON]
         self.rank[often] = np.arange(len(often))
-        self.common_max = self.block_max[often]
-        held = np.nonzero(self.block_max)
-        self.block_start, self.block_of, self.block_bound = np.searchsorted(held[0], np.arange(len(self.terms) + 2)), held[1], self.block_max[held]
+        self.common_max = self.block_bounds(np.repeat(often, self.n_blocks), np.tile(np.arange(self.n_blocks), len(often))).reshape(len(often), self.n_blocks).astype(np.float32)
+        self.block_start = np.searchsorted(self.pair, np.arange(len(self.terms) + 2) * max(self.n_blocks, 1))
+        self.block_of = self.pair % max(self.n_blocks, 1)
         self.n_gram = n_gram
         self.parts = [tuple(_sequences(x, n_gram) for x in question_and_answer(t)) for _, t in items]
         self.sizes = [tuple(max(1, min(n_gram, len(_hashes([x]).hash))) for x in question_and_answer(t)) for _, t in items]
@@ -113,6 +115,12 @@ class Index:
         out[maybe[hit]] = at[hit]
         return out
 
+    def block_bounds(self, terms: np.ndarray, block) -> np.ndarray:
+        """Largest impacts of terms in blocks, 0 where a block doesn't hold the term."""
+        key = terms * self.n_blocks + block
+        at = np.minimum(np.searchsorted(self.pair, key), max(len(self.pair) - 1, 0))
+        return np.where(self.pair[at] == key, self.block_bound[at], 0.0) if len(self.pair) else np.zeros(len(key))
+
     def bounds(self, term: np.ndarray, piece: np.ndarray, n_pieces: int, follows: np.ndarray) -> np.ndarray:
         """[passage, block] upper bounds of scores. A passage is a piece and, where ``follows``, the
         next one; ``piece``: of each word."""
@@ -133,17 +141,19 @@ class Index:
         """Items of a block that reach their thresholds for a set of terms, with their scores."""
         lo, hi = block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS
         lists = []  # [next posting, end, bound]
-        for t in terms:
+        for t, bound in zip(terms.tolist(), self.block_bounds(terms, block).tolist(), strict=True):
+            if not bound:
+                continue
             a, b = (self.start[t] + np.searchsorted(self.item[self.start[t] : self.start[t + 1]], [lo, hi])).tolist()
             if a < b:
-                lists.append([a, b, float(self.block_max[t, block])])
+                lists.append([a, b, bound])
         found, least = [], self.block_threshold[block]
         while lists:
             lists.sort(key=lambda x: self.item[x[0]])
             total, pivot = 0.0, None
             for i, x in enumerate(lists):
                 total += x[2]
-                if total >= least:
+                if total * (1 + 1e-9) >= least:
                     pivot = i
                     break
             if pivot is None:
@@ -182,7 +192,7 @@ class Index:
             end = cuts[p + 2] if p + 1 < total and doc[p + 1] == doc[p] else cuts[p + 1]
             terms = np.unique(term[start[p] : end])
             terms = terms[terms < len(self.terms)]
-            if self.block_max[terms, b].sum(dtype=np.float64) < self.block_threshold[b]:
+            if self.block_bounds(terms, b).sum() < self.block_threshold[b]:
                 continue
             for k, score in self.wand(terms, int(b)):
                 best = out.setdefault(int(doc[p]), {})
