@@ -188,7 +188,7 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Free memory goes back to the system: workers live on between tasks, and an executor's are many."""
     trim = getattr(_LIBC, "malloc_trim", None)
     if trim is not None:
@@ -204,7 +204,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int | None = None
         j = max(i + 1, min(i + rows, int(np.searchsorted(bounds, bounds[i] + limit, side="right")) - 1))
         yield batch.slice(i, j - i), buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         i = j
-    _give_back()
+    give_back()
 
 
 def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from sumloom.llm.common import U64, Words, chunks, materialize, mix, table
+from sumloom.llm.common import CHUNK_BYTES, U64, Words, chunks, give_back, materialize, mix, table
 
 ALPHA = 0.4
 ORDER = 3
@@ -146,7 +146,7 @@ def _pieces(buf: np.ndarray, bounds: np.ndarray):
     """The words of a block, a few documents at a time: hashing takes many bytes for each byte of text."""
     i, n = 0, len(bounds) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + (1 << 21), side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK_BYTES, side="right")) - 1)
         yield Words(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
         i = j
 
@@ -170,6 +170,7 @@ def _requests(order: int, parts: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
+                give_back()
                 row = batch.slice(i, 1).to_pylist()[0]
                 _, first, words = _open(row)
                 for n in range(1, order + 1):
@@ -187,6 +188,7 @@ def _merge(t: pa.Table) -> pa.Table:
     runs = [_unpack_run(x) for x in t.column("run").to_pylist()]
     h, place = np.unique(np.concatenate([x[0] for x in runs]), return_inverse=True)
     total = np.bincount(place, weights=np.concatenate([x[1] for x in runs]).astype(np.float64), minlength=len(h)).astype(U64)[place]
+    give_back()
     deflate, out, at = zstandard.ZstdCompressor(level=1).compress, [], 0
     for x, _ in runs:
         out.append(deflate(_varint(total[at : at + len(x)])))
@@ -220,6 +222,7 @@ def _score(order: int, min_count: int, corpus: int):
             context = np.full(len(at), float(corpus)) if n == 1 else count[n - 1][at - 1]
             log[at] = np.log(count[n][at]) - np.log(context) + (longest[at] - n) * np.log(ALPHA)
         sums = np.array([log[first[d] : first[d + 1]].sum() for d in range(len(first) - 1)])
+        give_back()
         n_words = np.diff(first)
         backed = np.concatenate([[0], np.cumsum(level < longest)])
         return pa.table(
