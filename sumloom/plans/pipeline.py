@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +24,13 @@ from sumloom.operators.sums import CosineSums, IteratedSums
 from sumloom.series import Series
 
 WINDOW_SUMS = 24
-#: Series in the sample that quantiles are fitted on, at most; it is collected.
+#: Series that are collected, at most. Quantiles of a larger fit sample are counted where the series are.
 MAX_FIT_SERIES = 2000
 FIT_TASKS = 64
+#: Edges around a quantile that one pass counts against.
+FIT_EDGES = 128
+#: Values of all derived series together that the last pass sends to the driver.
+FIT_VALUES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -165,8 +170,7 @@ class Pipeline:
 
     def fit(self, packed: DataFrame, seed: int = 0) -> Model:
         """``packed``: series_id, x. Preparateurs are fitted by aggregates over the sample, one after the
-        other; quantiles on at most MAX_FIT_SERIES series of it, exactly, the sums of the slices dealt
-        over tasks."""
+        other; quantiles are exact over all values of the sample."""
         for s in self.slices:
             s.check()
         n_dims = packed.select(F.size("x").alias("d")).first()
@@ -208,14 +212,18 @@ def _sample(packed: DataFrame, size: int | float, seed: int) -> DataFrame:
 
 
 def _fit_quantiles(spark, s: Slice, sample: DataFrame, seed: int) -> dict:
-    rows = sample.select("x").orderBy(F.xxhash64("x", F.lit(seed))).limit(MAX_FIT_SERIES).toArrow()
-    table = pa.Table.from_batches(rows.to_batches()) if rows.num_rows else rows
+    """Up to MAX_FIT_SERIES series are collected and the sums dealt over tasks. Of more, so many give
+    edges around each quantile, and passes over all series count between them."""
+    rows = sample.select("x").orderBy(F.xxhash64("series_id", "x", F.lit(seed))).limit(MAX_FIT_SERIES + 1).toArrow()
+    table, whole = pa.Table.from_batches(rows.to_batches()) if rows.num_rows else rows, rows.num_rows <= MAX_FIT_SERIES
     groups = [c for b in table.combine_chunks().to_batches() for _, c in cubes(b)]
-    if not groups:
+    if not groups and whole:
         return {}
     asked = [(i, v.asked()) for i, v in enumerate(s.sieves) if v.asked()]
     first, inner = len(s.sums[0]), s.n_sums // max(len(s.sums[0]), 1)
     tasks = min(first, FIT_TASKS)
+    # Values within five deviations of each quantile, of as many independent series.
+    around = np.linspace(-2.5, 2.5, FIT_EDGES) / np.sqrt(MAX_FIT_SERIES)
 
     def run(batches):
         for batch in batches:
@@ -228,12 +236,148 @@ def _fit_quantiles(spark, s: Slice, sample: DataFrame, seed: int) -> dict:
                     for i, qs in asked:
                         key = s.sieves[i].shape_key()
                         if (key, qs) not in shaped:
-                            shaped[key, qs] = np.quantile(np.concatenate([s.sieves[i].shaped(y).ravel() for y in ys]), qs)
+                            values = np.concatenate([s.sieves[i].shaped(y).ravel() for y in ys])
+                            near = np.unique(np.clip(np.add.outer(qs, around), 0, 1))
+                            shaped[key, qs] = np.quantile(values, qs) if whole else np.unique(np.quantile(values, near, method="nearest"))
                         out.append((k, i, shaped[key, qs]))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2].tolist() for x in out], pa.list_(pa.float64()))], names=["k", "i", "v"])
 
-    found = spark.range(0, tasks, 1, tasks).mapInArrow(run, "k int, i int, v array<double>").collect()
-    return {(r.k, r.i): tuple(r.v) for r in found}
+    found = {}
+    if groups:
+        found = {(r.k, r.i): tuple(r.v) for r in spark.range(0, tasks, 1, tasks).mapInArrow(run, "k int, i int, v array<double>").collect()}
+    return found if whole else _count_quantiles(spark, s, sample, asked, found)
+
+
+def _ordered(x: float) -> int:
+    """An integer for each float, in their order."""
+    bits = int(np.float64(x + 0.0).view(np.int64))
+    return bits if bits >= 0 else -(bits & 0x7FFFFFFFFFFFFFFF)
+
+
+def _unordered(n: int) -> float:
+    return float(np.int64(abs(n)).view(np.float64)) * (1 if n >= 0 else -1)
+
+
+@dataclass
+class _Target:
+    """Order statistics of a derived series that haven't parted yet: ``below`` values are at most ``lo``,
+    ``inside`` ones lie between ``lo`` and ``hi``, both excluded (None: nothing is counted yet)."""
+
+    k: int
+    sieve: int
+    ranks: list[int]
+    edges: np.ndarray | None
+    lo: float = -np.inf
+    hi: float = np.inf
+    below: int = 0
+    inside: int | None = None
+
+    def divide(self) -> None:
+        """Edges inside, evenly over the floats between lo and hi."""
+        a, b = _ordered(self.lo), _ordered(self.hi)
+        n = min(FIT_EDGES, b - a - 1)
+        self.edges = np.array([_unordered(a + (b - a) * j // (n + 1)) for j in range(1, n + 1)])
+
+
+def _counted(s: Slice, targets: list[_Target]):
+    """Rows of series to (target, place, count). Places of a target with edges: 2j below edge j (and above
+    the one before), 2j + 1 at it, -1 for NaN; of one without edges: the values themselves."""
+    by: dict = {}
+    for n, t in enumerate(targets):
+        by.setdefault(t.k, []).append((n, s.sieves[t.sieve], t.edges, t.lo, t.hi, t.inside is None))
+
+    def run(batches):
+        total: dict = {}
+        for batch in batches:
+            for _, raw in cubes(batch):
+                for k, y in enumerate(s.derived(s.prepare(raw), raw)):
+                    shaped: dict = {}
+                    for n, sieve, edges, lo, hi, new in by.get(k, ()):
+                        key = sieve.shape_key()
+                        if key not in shaped:
+                            shaped[key] = sieve.shaped(y).ravel()
+                        v = shaped[key]
+                        if not new:
+                            v = v[(v > lo) & (v < hi)]
+                        if edges is None:
+                            at, c = np.unique(v, return_counts=True)
+                        else:
+                            at = np.searchsorted(edges, v)
+                            at = 2 * at + (edges[np.minimum(at, len(edges) - 1)] == v)
+                            at[np.isnan(v)] = -1
+                            c = np.bincount(at + 1, minlength=1)
+                            at = np.flatnonzero(c)
+                            at, c = at - 1, c[at]
+                        mine = total.setdefault(n, {})
+                        for x, m in zip(at.tolist(), c.tolist(), strict=True):
+                            mine[x] = mine.get(x, 0) + m
+        for n, mine in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(mine), pa.int32()), pa.array(mine.keys(), pa.float64()), pa.array(mine.values(), pa.int64())], names=["n", "at", "c"])
+
+    return run
+
+
+def _count_quantiles(spark, s: Slice, sample: DataFrame, asked: list, edges: dict) -> dict:
+    """Quantiles as of ``np.quantile`` over all values. Each pass narrows the floats that an order
+    statistic may be; once few values are left between the bounds, they are collected."""
+    tasks = max(spark.sparkContext.defaultParallelism, -(-sample.count() // MAX_FIT_SERIES))
+    dealt = sample.select("x").repartition(tasks).persist(StorageLevel.DISK_ONLY)
+    try:
+        first: dict = {}  # sieves of one shape share their order statistics
+        for k in range(s.n_sums):
+            for i, qs in asked:
+                near = [x for x in edges.get((k, i), ()) if np.isfinite(x)]
+                first.setdefault((k, s.sieves[i].shape_key(), qs), _Target(k, i, [], np.array([-np.inf, *near, np.inf])))
+        names = {(t.k, t.sieve): key for key, t in first.items()}
+        size: dict = {}
+        value: dict = {}  # (k, sieve) -> {rank: value}
+        open_ = list(first.values())
+        while open_:
+            rows = dealt.mapInArrow(_counted(s, open_), "n int, at double, c long").groupBy("n", "at").agg(F.sum("c").alias("c")).orderBy("n", "at").toArrow()
+            n, at, c = (rows.column(x).to_numpy() for x in ("n", "at", "c"))
+            bounds = np.searchsorted(n, np.arange(len(open_) + 1))
+            left = []
+            for t, i, j in zip(open_, bounds[:-1], bounds[1:], strict=True):
+                places, counts, key = at[i:j], c[i:j], (t.k, t.sieve)
+                known = value.setdefault(key, {})
+                if t.inside is None:
+                    size[key] = int(counts.sum())
+                    if not size[key] or places[0] == -1:
+                        size[key] = 0
+                        continue
+                    exact = [(size[key] - 1) * q for q in names[key][2]]
+                    t.ranks = sorted({min(int(x) + d, size[key] - 1) for x in exact for d in (0, 1)})
+                upto = t.below + np.cumsum(counts)
+                gaps: dict = {}
+                for r in t.ranks:
+                    g = int(np.searchsorted(upto, r, side="right"))
+                    if g >= len(upto):
+                        raise RuntimeError("the series changed between two passes")
+                    if t.edges is None:
+                        known[r] = float(places[g])
+                    elif places[g] % 2:
+                        known[r] = float(t.edges[int(places[g]) // 2])
+                    else:
+                        gaps.setdefault(g, []).append(r)
+                for g, ranks in gaps.items():
+                    e = int(places[g]) // 2
+                    lo, hi = t.edges[e - 1] if e else t.lo, t.edges[e] if e < len(t.edges) else t.hi
+                    left.append(_Target(t.k, t.sieve, ranks, None, float(lo), float(hi), int(upto[g] - counts[g]), int(counts[g])))
+            few = FIT_VALUES // max(len(left), 1)
+            for t in left:
+                if t.inside > few:
+                    t.divide()
+            open_ = left
+    finally:
+        dealt.unpersist()
+    out = {}
+    for k in range(s.n_sums):
+        for i, qs in asked:
+            t = first[k, s.sieves[i].shape_key(), qs]
+            n, known = size[t.k, t.sieve], value[t.k, t.sieve]
+            places = [(n - 1) * q for q in qs]
+            out[k, i] = tuple(float(np.quantile([known[int(x)], known[min(int(x) + 1, n - 1)]], x - int(x))) for x in places) if n else (np.nan,) * len(qs)
+    return out
 
 
 @dataclass(frozen=True)

@@ -75,6 +75,19 @@ def test_samples_and_catalog(spark):
         pl.Pipeline((pl.Slice((), (), (S.END(),)),)).fit(df)
 
 
+@pytest.mark.parametrize("few", [2_000_000, 0])
+def test_quantiles_of_more_series_than_are_collected(spark, monkeypatch, few):
+    monkeypatch.setattr(pl, "FIT_VALUES", few, raising=False)
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((2300, 1, 6))
+    x[700:] = rng.standard_normal((1, 6))  # heavy copies
+    p = pl.Pipeline((pl.Slice((P.INC(),), (IteratedSums(("[1][1]", "[11]"), True),), (S.NPI(q=(0.5, 1)), S.MPI(q=(0.1, 0.28, 0.9), inc=0), S.MAX(q=(-1, 0.35, 1), inc=2), S.PPV((0.0, 1.0))), 1.0),))
+    got, want = p.fit(packed_rows(spark, x)).pipeline.slices[0].fitted, pl.fit_long(p, long_series(spark, x)).pipeline.slices[0].fitted
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        np.testing.assert_allclose(got[key], values, rtol=1e-9, atol=1e-12)
+
+
 def test_plan_has_one_exchange(spark):
     p = pl.Pipeline((pl.Slice((P.INC(),), (IteratedSums(("[1][1][1]", "[11][1]"), True),), (S.END(), S.NPI())),))
     plan = pl.fit_long(p, long_series(spark, CUBE[:, :1])).transform_long(long_series(spark, CUBE[:, :1]))._jdf.queryExecution().executedPlan().toString()
