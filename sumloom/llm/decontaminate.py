@@ -14,7 +14,7 @@ question (all but the last sentence) and of its answer (the last sentence; the l
 words where there is only one sentence).
 
 The index of at most ``part_items`` items goes to the tasks with the plan; a larger test set is
-handled part by part, each over all documents.
+handled part by part, each over all documents, with the statistics of the whole set in each part.
 
 Words are runs of letters and digits, A-Z in lower case. Edge cases: null and empty texts match
 nothing, on either side; items without words are ignored; rows that repeat a document are judged
@@ -25,6 +25,8 @@ everything clean; extra columns are not read by :func:`leaks` and kept by :func:
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -63,11 +65,25 @@ def _sequences(text: str, n: int) -> np.ndarray:
     return np.unique(grams(words, max(1, min(n, int(words.counts[0]))))[0])
 
 
+def _counts(text: str | None) -> bool:
+    return bool(text and re.search(r"\w", text))
+
+
+class Statistics(NamedTuple):
+    """Of all items of a test set: their number and mean length, and how many hold each of some terms (sorted)."""
+
+    n: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class Index:
-    """Impacts of all terms, postings sorted by item, block maxima, and thresholds of the items."""
+    """Impacts of all terms, postings sorted by item, block maxima, and thresholds of the items.
+    ``whole``: the test set that the items are a part of."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = 0.5, n_gram: int = 5):
-        items = [(i, t) for i, t in items if t and re.search(r"\w", t)]
+    def __init__(self, items: list[tuple[int, str]], share: float = 0.5, n_gram: int = 5, whole: Statistics | None = None):
+        items = [(i, t) for i, t in items if _counts(t)]
         self.ids = [i for i, _ in items]
         words = _hashes([t for _, t in items])
         n = len(items)
@@ -75,8 +91,9 @@ class Index:
         self.terms, first, df = np.unique(pair[0], return_index=True, return_counts=True)
         item = pair[1].astype(np.int64)
         length = words.counts.astype(float)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / max(length.mean(), 1e-9)) if n else np.empty(0)
+        n_all, held, mean = (n, df, length.mean() if n else 0.0) if whole is None else (whole.n, whole.df[np.searchsorted(whole.terms, self.terms)], whole.mean)
+        idf = np.log(1 + (n_all - held + 0.5) / (held + 0.5))
+        norm = K1 * (1 - B + B * length / max(mean, 1e-9)) if n else np.empty(0)
         term = np.repeat(np.arange(len(self.terms)), df)
         impact = idf[term] * tf * (K1 + 1) / (tf + norm[item]) if n else np.empty(0)
         self.start = np.append(first, len(item)).astype(np.int64)
@@ -214,17 +231,41 @@ class Index:
         return out[0], out[1]
 
 
-def _parts(items: DataFrame, part_items: int) -> list[list[tuple[int, str]]]:
-    """The items in bounded parts. Each part is collected by itself when its turn comes."""
+def _terms(batches):
+    """Rows (part, text) to one row an item and term."""
+    for batch in batches:
+        rows = [(p, t) for p, t in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist(), strict=True) if _counts(t)]
+        words = _hashes([t for _, t in rows])
+        pair = np.unique(np.stack([words.doc.astype(U64), words.hash]), axis=1) if rows else np.empty((2, 0), U64)
+        parts = np.array([p for p, _ in rows], dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(parts[pair[0].astype(np.int64)]), pa.array(pair[1].view(np.int64))], names=["part", "h"])
+
+
+def _lengths(batches):
+    for batch in batches:
+        texts = [t for t in batch.column("text").to_pylist() if _counts(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([len(texts)], pa.int64()), pa.array([int(_hashes(texts).counts.sum())], pa.int64())], names=["n", "words"])
+
+
+def _parts(items: DataFrame, part_items: int) -> Iterator[tuple[list[tuple[int, str]], Statistics | None]]:
+    """The items in bounded parts. Each part is collected by itself when its turn comes, with how many
+    items of all parts hold its terms."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     n = rows.count()
     if n <= part_items:
-        yield [(r.item_id, r.text) for r in rows.orderBy("item_id", "text").collect()]
+        yield [(r.item_id, r.text) for r in rows.orderBy("item_id", "text").collect()], None
         return
     parts = -(-n * 2 // part_items)
     dealt = materialize(rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), "items")
+    total = dealt.select("text").mapInArrow(_lengths, "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    pairs = materialize(dealt.select("part", "text").mapInArrow(_terms, "part long, h long").groupBy("part", "h").agg(F.count("*").alias("c")), "terms")
+    held = materialize(pairs.select("part", "h").join(pairs.groupBy("h").agg(F.sum("c").alias("df")), "h"), "held")
     for i in range(parts):
-        yield [(r.item_id, r.text) for r in dealt.where(F.col("part") == i).orderBy("item_id", "text").collect()]
+        own = held.where(F.col("part") == i).select("h", "df").toArrow()
+        terms, df = own.column("h").to_numpy().view(U64), own.column("df").to_numpy()
+        order = np.argsort(terms)
+        whole = Statistics(total.n or 0, (total.words or 0) / max(total.n or 0, 1), terms[order], df[order])
+        yield [(r.item_id, r.text) for r in dealt.where(F.col("part") == i).orderBy("item_id", "text").collect()], whole
 
 
 def _judge(index: Index, overlap: float, batch: pa.RecordBatch):
@@ -241,43 +282,49 @@ def _judge(index: Index, overlap: float, batch: pa.RecordBatch):
             yield len(found.get(d, {})), leaked
 
 
-_OUT = "doc_id long, contaminated boolean, n_retrieved long, items array<long>, best_score double, best_overlap double"
+_FOUND = "contaminated boolean, n_retrieved long, items array<long>, best_score double, best_overlap double"
+
+
+def _found(index: Index, overlap: float, key: str, all_rows: bool):
+    """Rows (key, text) to the key and what is found in the text; rows without any only with ``all_rows``."""
+
+    def run(batches):
+        for batch in batches:
+            n, ids, best, over = [], [], [], []
+            for count, leaked in _judge(index, overlap, batch):
+                n.append(count)
+                ids.append(sorted({x[0] for x in leaked if x[0] is not None}))
+                best.append(max((x[1] for x in leaked), default=0.0))
+                over.append(max((x[2] for x in leaked), default=0.0))
+            out = pa.RecordBatch.from_arrays([batch.column(key), pa.array([x > 0 for x in over], pa.bool_()), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64()), pa.array(over, pa.float64())], names=[key, *(x.split()[0] for x in _FOUND.split(", "))])
+            yield out if all_rows else out.filter(pa.array([x > 0 for x in n], pa.bool_()))
+
+    return run
 
 
 def leaks(docs: DataFrame, items: DataFrame, share: float = 0.5, overlap: float = 0.6, part_items: int = 5000) -> DataFrame:
     """One row a document: contaminated, number of items retrieved, ids of those verified, the best
     score as a multiple of its threshold, and the best overlap."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for part in _parts(items, part_items):
-        index = Index(part, share)
-
-        def run(batches, index=index):
-            for batch in batches:
-                n, ids, best, over = [], [], [], []
-                for count, leaked in _judge(index, overlap, batch):
-                    n.append(count)
-                    ids.append(sorted({x[0] for x in leaked if x[0] is not None}))
-                    best.append(max((x[1] for x in leaked), default=0.0))
-                    over.append(max((x[2] for x in leaked), default=0.0))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x > 0 for x in over], pa.bool_()), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64()), pa.array(over, pa.float64())], names=[x.split()[0] for x in _OUT.split(", ")])
-
-        found = rows.mapInArrow(run, _OUT)
-        out = found if out is None else _merged(out, found)
-    return out
-
-
-def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Results of two parts of a test set, one row a document again."""
-    both = materialize(a.union(b), "leaks")
-    return both.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), F.sum("n_retrieved").alias("n_retrieved"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.max("best_score").alias("best_score"), F.max("best_overlap").alias("best_overlap"))
+    found = None
+    for part, whole in _parts(items, part_items):
+        index = Index(part, share, whole=whole)
+        if whole is None:
+            return rows.mapInArrow(_found(index, overlap, "doc_id", True), f"doc_id long, {_FOUND}")
+        if found is None:  # ids may repeat or be null, so parts meet by a number of the row
+            rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "documents")
+        one = materialize(rows.select("row", "text").mapInArrow(_found(index, overlap, "row", False), f"row long, {_FOUND}"), "leaks")
+        found = one if found is None else found.union(one)
+    merged = found.groupBy("row").agg(F.max("contaminated").alias("contaminated"), F.sum("n_retrieved").alias("n_retrieved"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("best_score").alias("best_score"), F.max("best_overlap").alias("best_overlap"))
+    none = {"contaminated": F.lit(False), "n_retrieved": F.lit(0).cast("long"), "items": F.array().cast("array<long>"), "best_score": F.lit(0.0), "best_overlap": F.lit(0.0)}
+    return rows.select("row", "doc_id").join(merged, "row", "left").select("doc_id", *[F.coalesce(c, v).alias(c) for c, v in none.items()])
 
 
 def clean(docs: DataFrame, items: DataFrame, share: float = 0.5, overlap: float = 0.6, part_items: int = 5000) -> DataFrame:
     """The rows of ``docs`` that hold no item, unchanged."""
     out = docs
-    for part in _parts(items, part_items):
-        index = Index(part, share)
+    for part, whole in _parts(items, part_items):
+        index = Index(part, share, whole=whole)
 
         def run(batches, index=index):
             for batch in batches:

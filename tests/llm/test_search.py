@@ -192,6 +192,17 @@ def test_leak_edge_cases(spark):
     assert decontaminate.leaks(docs.where("false"), items).collect() == []
 
 
+def test_parts_judge_as_one_index(spark):
+    rng = np.random.default_rng(8)
+    items = [(i, " ".join(f"t{int(x)}" for x in rng.zipf(1.5, rng.integers(6, 60)) % 300)) for i in range(40)]
+    items = [*items, (7, " ".join(items[3][1].split()[:-1])), (41, "_"), (42, None), (3, items[3][1])]
+    texts = [" ".join(f"t{int(x)}" for x in rng.zipf(1.5, 90) % 300) for _ in range(25)] + [t for _, t in items[:12]]
+    docs = frame(spark, [*enumerate(texts), (1, texts[30]), (1, texts[31]), (None, texts[32]), (None, texts[33]), (None, "x y"), (99, None)])
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    whole, parts = (sorted(((r.doc_id if r.doc_id is not None else -1, r.contaminated, r.n_retrieved, r["items"], round(r.best_score, 9), round(r.best_overlap, 9)) for r in decontaminate.leaks(docs, tests, part_items=n).collect())) for n in (5000, 15))
+    assert sum(x[2] for x in whole) > len(texts) and parts == whole
+
+
 # ------------------------------------------------------------------ pipeline
 
 
