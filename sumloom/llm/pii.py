@@ -96,6 +96,13 @@ _SPELLED = {
 _ONE = "|".join(sorted(_SPELLED, key=len, reverse=True))
 #: Four or more in a row; shorter runs are words.
 _RUN = re.compile(rf"(?<![^\W_])(?:(?:{_ONE}|[0-9])(?:\x20(?:dot|punkt|punto)\x20|[\x20,.-]{{1,2}})){{3,}}(?:{_ONE}|[0-9])(?![^\W_])", re.I)
+#: Runs that hold numbers of several figures, of any length; they count if they are of a kind as a whole.
+_MIXED = re.compile(rf"(?<![^\W_])(?:(?:{_ONE}|[0-9]+)(?:\x20(?:dot|punkt|punto)\x20|[\x20,.-]{{1,2}}))+(?:{_ONE}|[0-9]+)(?![^\W_])", re.I)
+_MIXED_PART = re.compile(rf"{_ONE}|[0-9]+", re.I)
+_WORD_NEXT = re.compile(rf"[0-9](?:\x20(?:dot|punkt|punto)\x20|[\x20,.-]{{1,2}})(?:{_ONE})(?![^\W_])", re.I)
+_NUMBER = re.compile(r"(?<=[\x20,.-])[0-9]")
+_WORD_BEFORE = re.compile(rf"(?:{_ONE})(?:\x20(?:dot|punkt|punto)\x20|[\x20,.-]{{1,2}})\Z", re.I)
+_SIGN = re.compile(r"(?:\+|(?<![^\W_])plus[\x20-])\Z", re.I)
 #: A run holds one of these at least.
 _TELLING = frozenset(_SPELLED) - {"un", "oh"}
 _FLAT = str.maketrans(",.-", "   ")
@@ -104,12 +111,18 @@ _WORD_DIGIT = re.compile(rf"{_ONE}|[0-9]", re.I)
 _PLUS = re.compile(r"(?<![^\W_])plus[\x20-](?=[0-9])", re.I)
 _BRACKETED_AT = re.compile(r"[\x20]{0,2}[\[({<][\x20]?(?:at|@|arroba|ät)[\x20]?[\])}>][\x20]{0,2}", re.I)
 _BRACKETED_DOT = re.compile(r"[\x20]{0,2}[\[({<][\x20]?(?:dot|punkt|point|punto|\.)[\x20]?[\])}>][\x20]{0,2}", re.I)
-#: Bare words count only in the frame of an address: name at host dot domain.
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\x20(?:at|arroba)\x20|\x20?@\x20?)[A-Za-z0-9-]+(?:(?:\x20(?:dot|punkt|punto)\x20|\.)[A-Za-z0-9-]+)*\x20(?:dot|punkt|punto)\x20(?:com|org|net|edu|gov|info|example|test|co|io|ai|eu|uk|us|de|fr|es)(?![A-Za-z0-9-])", re.I)
-_BARE_DOT = re.compile(r"\x20(?:dot|punkt|punto)\x20", re.I)
+_NAME, _LABEL, _SPELLED_DOT, _ENDING = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+", "[A-Za-z0-9-]+", r"\x20(?:dot|punkt|punto)\x20", r"[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+#: Words that a spoken dot follows in plain texts, unless one of the common endings comes next.
+_NO_HOST = rf"(?:the|this|that|these|those|a|an|each|every|any|some|one|which|what|no|another|my|our|your|his|her|its|their|polka){_SPELLED_DOT}(?!(?:com|org|net|edu|gov|info|example|test|co|io|ai|eu|uk|us|de|fr|es)(?![A-Za-z0-9-]))"
+#: Bare words count only in the frame of an address: name at host dot domain, or a spaced @ with plain dots.
+_BARE = re.compile(rf"{_NAME}(?:(?P<at>\x20(?:at|arroba)\x20(?!{_NO_HOST})|\x20?@\x20?){_LABEL}(?:(?:{_SPELLED_DOT}|\.){_LABEL})*{_SPELLED_DOT}(?:{_LABEL}\.)*{_ENDING}|(?P<sign>\x20?@\x20){_LABEL}(?:\.{_LABEL})*\.{_ENDING})", re.I)
+_BARE_DOT = re.compile(_SPELLED_DOT, re.I)
 #: A text without any of these holds no at/dot disguise.
 _HINTS = ("dot", "punkt", "punto", "point", "at)", "at]", "at}", "at>", "at )", "at ]", "at }", "at >", "@)", "@]", "@}", "@>", "@ ", "arroba", "ät", "[.", "(.", "{.", "<.")
-_ODD = re.compile("[" + re.escape("".join(_GLYPH) + "".join(_UNSEEN)) + "！-～٠-٩۰-۹\U0001d7ce-\U0001d7ff]")
+#: Compatibility forms of ASCII letters: mathematical, circled, raised, ligatures and others.
+_FORMS = "".join(c for c in map(chr, range(0x80, 0x10000)) if (x := unicodedata.normalize("NFKC", c)).isascii() and x.isalpha())
+#: Those beyond U+FFFF as ranges: a set of single ones has no fast search.
+_ODD = re.compile("[" + re.escape("".join(_GLYPH) + "".join(_UNSEEN) + _FORMS) + "！-～٠-٩۰-۹\U0001d400-\U0001d7ff\U0001f110-\U0001f149]")
 
 
 class Tape:
@@ -157,19 +170,42 @@ def _characters(tape: Tape) -> Tape:
     return tape.rewrite(edits)
 
 
+def _joined_digits(text: str, inner: list[re.Match]) -> list[tuple[int, int, str]]:
+    """Edits that write the parts of a run as digits."""
+    edits = []
+    for i, m in enumerate(inner):
+        gap = inner[i + 1].start() if i + 1 < len(inner) else m.end()
+        # A dot between words stays: it may part an address.
+        between = text[m.end() : gap]
+        edits.append((m.start(), gap, _SPELLED.get(m[0].lower(), m[0]) + ("." if _PART.search(between) else "")))
+    return edits
+
+
+def _is_mixed(text: str) -> bool:
+    """Does a spelled digit stand beside a figure? Asked from the figures, which are few."""
+    return bool(_WORD_NEXT.search(text)) or any(_WORD_BEFORE.search(text[max(m.start() - 20, 0) : m.start()]) for m in _NUMBER.finditer(text))
+
+
 def _digits(tape: Tape) -> Tape:
     edits = []
     for run in _RUN.finditer(tape.text):
         inner = list(_WORD_DIGIT.finditer(tape.text, run.start(), run.end()))
-        if sum(len(m[0]) > 1 for m in inner) < 4:
-            continue
-        for i, m in enumerate(inner):
-            gap = inner[i + 1].start() if i + 1 < len(inner) else m.end()
-            # A dot between words stays: it may part an address.
-            between = tape.text[m.end() : gap]
-            edits.append((m.start(), gap, _SPELLED.get(m[0].lower(), m[0]) + ("." if _PART.search(between) else "")))
-    tape = tape.rewrite(edits)
-    return tape.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)]) if edits else tape
+        if sum(len(m[0]) > 1 for m in inner) >= 4:
+            edits += _joined_digits(tape.text, inner)
+    tape, some = tape.rewrite(edits), bool(edits)
+    if _is_mixed(tape.text):
+        edits = []
+        for run in _MIXED.finditer(tape.text):
+            inner = list(_MIXED_PART.finditer(tape.text, run.start(), run.end()))
+            if not any(m[0].lower() in _SPELLED for m in inner):
+                continue
+            made = _joined_digits(tape.text, inner)
+            put = "".join(x[2] for x in made)
+            put = "+" + put if _SIGN.search(tape.text[max(run.start() - 6, 0) : run.start()]) else put
+            if any(b - a == len(put) for a, b, _ in spans_of(put)):
+                edits += made
+        tape, some = tape.rewrite(edits), some or bool(edits)
+    return tape.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)]) if some else tape
 
 
 def _at_and_dot(tape: Tape) -> Tape:
@@ -184,8 +220,9 @@ def _at_and_dot(tape: Tape) -> Tape:
         tape = tape.rewrite(kept)
     edits = []
     for m in _BARE.finditer(tape.text):
-        edits.append((m.start("at"), m.end("at"), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(tape.text, m.end("at"), m.end())]
+        at = "at" if m["at"] else "sign"
+        edits.append((m.start(at), m.end(at), "@"))
+        edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(tape.text, m.end(at), m.end())]
     return tape.rewrite(edits)
 
 

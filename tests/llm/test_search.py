@@ -68,6 +68,26 @@ def test_disguises(text, kind, span):
     assert span in [text[a:b] for a, b, k in every if pii.KINDS[k] == kind]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        *((f"ask john at mail dot {x} now", "email", f"john at mail dot {x}") for x in ("it", "ch", "be", "mx", "museum")), ("jane [at] the dot com", "email", "jane [at] the dot com"),
+        ("ask john @ example.com now", "email", "john @ example.com"), ("jane [at] mail dot example.nl", "email", "jane [at] mail dot example.nl"),
+        ("ring +49 one five one 2345678 now", "phone", "+49 one five one 2345678"), ("ring plus 49 one 512345678 now", "phone", "plus 49 one 512345678"),
+        ("host 10 dot 20 dot zero dot 7 up", "ip", "10 dot 20 dot zero dot 7"), ("𝐣𝐨𝐞@𝓮𝔵𝕒mple.com", "email", "𝐣𝐨𝐞@𝓮𝔵𝕒mple.com"), ("ⓙoe@eﬁ.ℂom", "email", "ⓙoe@eﬁ.ℂom"),
+    ],
+)
+def test_more_disguises(text, kind, span):
+    before, every = pii.find(text)
+    assert not [x for x in before if text[x[0] : x[1]] == span]
+    assert span in [text[a:b] for a, b, k in every if pii.KINDS[k] == kind]
+
+
+@pytest.mark.parametrize("text", ["point at the dot in the corner", "look at polka dot dresses", "thanks @some.user", "see us at example.com", "one of 1234567890 in 2024, two 5 and +49 one", "chapter 1 one 2.3"])
+def test_more_plain_words_stay(text):
+    assert pii.find(text) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["look at this dot matrix", "one two three", "we met at noon (dot)", "at the dot com", "un un un un", "five six seven eight nine ten of them"])
 def test_plain_words_stay(text):
     assert pii.find(text) == ([], [])
