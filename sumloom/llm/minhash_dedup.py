@@ -74,7 +74,7 @@ def _set_hashes(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
-SIGNED = "doc_id long, n_shingles long, cls long, cls2 long, bands array<long>, sig binary"
+SIGNED = "doc_id long, rid long, n_shingles long, cls long, cls2 long, bands array<long>, sig binary"
 
 
 def _sign(bands: int, rows: int, k: int):
@@ -105,10 +105,10 @@ def _sign(bands: int, rows: int, k: int):
                     sig[d] = low[row].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)),
+                        part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), part.column(part.schema.get_field_index("rid")), pa.array(n.astype(np.int64)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(sizes), pa.array(keys.ravel().view(np.int64))), pa.array(sig, type=pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "cls", "cls2", "bands", "sig"],
+                    names=["doc_id", "rid", "n_shingles", "cls", "cls2", "bands", "sig"],
                 )
 
     return run
@@ -221,17 +221,18 @@ def _across(threshold: int):
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, class_size. ``threshold`` is
     the least similarity in hundredths."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Every row has a rid to find its text by, rows with a null doc_id too.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid"), "text")
     signed = materialize(texts.mapInArrow(_sign(bands, rows, k), SIGNED), "signed")
-    classes = materialize(signed.where("n_shingles > 0").groupBy("cls", "cls2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("class_size")), "classes")
+    classes = materialize(signed.where("n_shingles > 0").groupBy("cls", "cls2").agg(F.min("doc_id").alias("first_doc"), F.min("rid").alias("first_row"), F.count("*").alias("class_size")), "classes")
 
     banded = signed.where("n_shingles > 0").select("cls", F.explode("bands").alias("key"))
     shared = materialize(banded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("key"), "shared")
     members = materialize(banded.join(shared, "key").distinct(), "members")
     candidates = materialize(members.select("cls").distinct(), "candidates")
-    first = classes.join(candidates, "cls", "left_semi").where("first_doc is not null").select(F.col("first_doc").alias("doc_id")).distinct()
-    sets = deflated(texts).join(first.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k), SETS)
-    sigs = signed.join(candidates, "cls", "left_semi").join(classes.select("cls", F.col("first_doc").alias("doc_id")), ["cls", "doc_id"], "left_semi").select("cls", "sig")
+    first = classes.join(candidates, "cls", "left_semi").select(F.col("first_row").alias("rid")).distinct()
+    sets = deflated(texts.select("rid", "text")).join(first.hint("merge"), "rid", "left_semi").mapInArrow(_sets(k), SETS)
+    sigs = signed.join(candidates, "cls", "left_semi").join(classes.select("cls", F.col("first_row").alias("rid")), ["cls", "rid"], "left_semi").select("cls", "sig").dropDuplicates(["cls"])
     sets = materialize(sets.join(sigs, "cls").dropDuplicates(["cls"]), "sets")
 
     # A sample of long sets will do: it only chooses the centres.

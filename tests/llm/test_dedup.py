@@ -63,6 +63,14 @@ def test_edge_cases(spark):
     assert minhash_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_null_ids_take_part(spark):
+    a, b, c = ([f"{x}{i}" for i in range(130)] for x in "abc")
+    rows = [(5, " ".join(a[:100])), (None, " ".join(a[10:110])), (8, " ".join(a[20:120])), (None, " ".join(b[:100])), (4, " ".join(b[3:103])), *[(None, " ".join(c[:90]))] * 3, (None, " ".join(c[2:90])), (1, " ".join(c[4:]))]
+    out = minhash_dedup.near_duplicates(spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr) == brute(rows)
+    assert {r.component_id for r in out if r.doc_id == 8} == {5}
+
+
 @pytest.mark.parametrize("kind", ["chain", "star", "random"])
 def test_components(spark, kind):
     rng = random.Random(5)
