@@ -9,8 +9,8 @@ equal windows always meet under equal minimisers and the graph is held in compac
    only documents that hold one (*touched* ones) have their text moved;
 2. paths are compared as wholes by 128 bits of hash. A minimiser under which all documents have the
    same path doesn't branch, and the path is settled by its smallest document;
-3. only the distinct paths of branching minimisers are opened to single windows; for each window
-   the smallest document counts;
+3. only the distinct paths of branching minimisers are opened to single windows; windows
+   are compared by their minimiser and 128 bits of hash, and for each the smallest document counts;
 4. the settled paths join back to their occurrences, whose source coordinates (document, first
    word, length) give the words that go.
 
@@ -158,12 +158,13 @@ def _windows(window: int):
                     lo, hi = np.searchsorted(doc, [d, d + 1])
                     keep[lo:hi] = np.isin(local[lo:hi], starts[d].values.to_numpy())
                 which = np.flatnonzero(keep)
-                s1, _ = g.path_hashes(which)
+                s1, s2 = g.path_hashes(which)
                 w = g.path_windows[which]
                 idx = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
                 at = np.repeat(g.path_start[which], w) + idx
                 ids = part.column("doc_id").take(pa.array(np.repeat(doc[which], w)))
-                yield pa.RecordBatch.from_arrays([pa.array(g.span(2, at, window).view(np.int64)), ids, pa.array(np.repeat(s1, w)), pa.array(idx.astype(np.int32))], names=["h", "doc_id", "s1", "k"])
+                h, h2 = (pa.array(g.span(x, at, window).view(np.int64)) for x in (2, 3))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(g.node[which], w)), h, h2, ids, pa.array(np.repeat(s1, w)), pa.array(np.repeat(s2, w)), pa.array(idx.astype(np.int32))], names=["m", "h", "h2", "doc_id", "s1", "s2", "k"])
 
     return run
 
@@ -224,10 +225,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     paths = materialize(occurrences.groupBy("m", "s1", "s2").agg(F.min(F.struct("doc_id", "i")).alias("first")).select("m", "s1", "s2", F.col("first.doc_id").alias("least"), "first.i"), "paths")
     branching = materialize(paths.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"), "branching")
     open_ = paths.join(branching, "m").groupBy(F.col("least").alias("doc_id")).agg(F.collect_set("i").alias("starts"))
-    windows = materialize(touched.drop("nodes").join(open_, "doc_id").mapInArrow(_windows(window), "h long, doc_id long, s1 long, k int"), "windows")
-    shared = materialize(windows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo"), "shared")
-    other = windows.join(shared, "h").where("lo < doc_id").groupBy("s1").agg(F.collect_list(F.struct("k", "lo")).alias("other"))
-    settled = materialize(paths.select("s1", "s2", "least").join(other, "s1", "left"), "settled")
+    windows = materialize(touched.drop("nodes").join(open_, "doc_id").mapInArrow(_windows(window), "m long, h long, h2 long, doc_id long, s1 long, s2 long, k int"), "windows")
+    shared = materialize(windows.groupBy("m", "h", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m", "h", "h2", "lo"), "shared")
+    other = windows.join(shared, ["m", "h", "h2"]).where("lo < doc_id").groupBy("s1", "s2").agg(F.collect_list(F.struct("k", "lo")).alias("other"))
+    settled = materialize(paths.select("s1", "s2", "least").join(other, ["s1", "s2"], "left"), "settled")
     found = occurrences.join(settled, ["s1", "s2"]).where("least < doc_id or other is not null")
     found = found.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("i", "w", "least", "other")).alias("found"))
     return touched.drop("nodes").join(found, ["doc_id", "tid"]).mapInArrow(_cut(window, with_text), "doc_id long, tid long, n_removed long, sha string, spans array<struct<start:long,end:long>>, kept_text string")
