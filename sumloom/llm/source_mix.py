@@ -15,7 +15,8 @@ budget ends; that one row per source decides about all documents.
 Edge cases: null and empty texts have size 0 and are taken 0 times; a null doc_id is drawn as the
 text 'null'; rows that repeat doc_id and size stand at one place in the order, and share what is
 left there; a weight that is null, not finite or not positive counts as the smallest, 1e-6; an
-empty table gives no rows.
+empty table gives no rows; columns of ``docs`` may have any names: carried ones that are called like
+an output come back as ``doc_<name>`` (with more underscores while that is taken too).
 """
 
 from __future__ import annotations
@@ -27,14 +28,23 @@ from sumloom.llm.common import materialize, table
 
 PATTERN = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]"
+#: White space, and ASCII marks and digits.
+NO_LETTER = r"[\x20\x09-\x0D!-@\[-`{-~]"
+#: The columns that a mix adds.
+OUTPUT = ("size", "source_size", "target", "taken")
 SALTS = 32
 
 
 def quality_weight(text: Column | str, size: Column | str) -> Column:
-    """1 for prose; less the more bars and exclamation marks there are for each word."""
+    """A weight in [0, 1] from built-in functions: the share of letters among the characters that aren't
+    white space, times how many different words there are against ``sqrt(2 words)`` (at most 1), which
+    prose reaches at any length and repeated boilerplate doesn't."""
     text, size = (F.col(x) if isinstance(x, str) else x for x in (text, size))
-    marks = F.length(text) * 2 - F.length(F.replace(text, F.lit("!"), F.lit(""))) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    return 1 / (1 + F.coalesce(marks, F.lit(0)) / F.greatest(size, F.lit(1)))
+    solid = F.length(F.regexp_replace(text, SPACE, ""))
+    letters = F.length(F.regexp_replace(text, NO_LETTER, ""))
+    variety = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))) / F.sqrt(2.0 * F.greatest(size, F.lit(1)))
+    return F.coalesce(letters / F.greatest(solid, F.lit(1)) * F.least(F.lit(1.0), variety), F.lit(0.0))
 
 
 def _sized(docs: DataFrame, weight: Column | None, seed: int) -> DataFrame:
@@ -95,9 +105,11 @@ def _with_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weight: Column | None = None, pattern: tuple[int, ...] = PATTERN, most: int = 3, seed: int = 1, carry: list[str] | None = None) -> DataFrame:
     """Every document with size, source_size, target and taken; ``carry``: columns of ``docs`` to
-    return (default doc_id). Other columns of ``docs`` are not read."""
-    carry = carry or ["doc_id"]
-    sized = _sized(docs.select("doc_id", "text", "source"), weight, seed)
+    return (default doc_id). ``weight``: a column over doc_id, text, source and mix_size (the number of
+    words); by default :func:`quality_weight`. Other columns of ``docs`` are not read."""
+    carry = list(dict.fromkeys(carry or ["doc_id"]))
+    base = [F.col("doc_id"), F.col("text"), F.col("source")]
+    sized = _sized(docs.select(*base), weight, seed)
     sized = materialize(sized.drop("text", "source"), "mix-sizes")
     totals = sized.groupBy("mix_src", "mix_none").agg(F.sum("mix_size").alias("source_size"), F.avg("mix_key").alias("mean_key"))
     means = totals.select("mix_src", "mix_none", "mean_key")
@@ -106,11 +118,26 @@ def mix(docs: DataFrame, weight: Column | None = None, pattern: tuple[int, ...]
     plan = materialize(plan.withColumn("left", F.round("target").cast("long") - F.col("epochs") * F.col("source_size")), "mix-plan")
     cuts = materialize(_cuts(sized, plan), "mix-cuts")
     full = materialize(plan.join(cuts, ["mix_src", "mix_none"], "left").drop("mean_key"), "mix-full")
-    rows = sized if carry == ["doc_id"] else _sized(docs.select(*dict.fromkeys([*carry, "doc_id", "text", "source"])), weight, seed)
+    # Carried columns travel in one struct, out of the way of all others.
+    rows = sized.withColumn("mix_row", F.struct("doc_id")) if carry == ["doc_id"] else _sized(docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("mix_row"), *base), weight, seed)
     here, cut = F.struct("mix_key", "doc_id", "mix_size"), F.struct(F.col("cut_key").alias("mix_key"), F.col("cut_id").alias("doc_id"), F.col("cut_size").alias("mix_size"))
     part = F.when(F.col("cut_key").isNull(), F.lit(0)).when(here < cut, F.col("mix_size")).when(here.eqNullSafe(cut), F.col("cut_words")).otherwise(F.lit(0))
     out = _with_source(rows, full)
-    return out.select(*carry, F.col("mix_size").alias("size"), "source_size", "target", (F.col("epochs") * F.col("mix_size") + part).cast("long").alias("taken"))
+    kept = [F.col(f"mix_row.`{c}`").alias(n) for c, n in zip(carry, _free_names(carry), strict=True)]
+    return out.select(*kept, F.col("mix_size").alias("size"), "source_size", "target", (F.col("epochs") * F.col("mix_size") + part).cast("long").alias("taken"))
+
+
+def _free_names(carry: list[str]) -> list[str]:
+    """The names of carried columns, changed where an output has them."""
+    used, out = {c.lower() for c in carry} | set(OUTPUT), []
+    for c in carry:
+        if c.lower() in OUTPUT:
+            c = f"doc_{c}"
+            while c.lower() in used:
+                c = f"{c}_"
+            used.add(c.lower())
+        out.append(c)
+    return out
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,10 +147,13 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         coalesce(2 * length(text) - length(replace(text, '!', '')) - length(replace(text, '|', '')), 0) AS marks,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS solid,
+         length(regexp_replace(text, '[\x20\x09-\x0D!-@\[-`{-~]', '', 'g')) AS letters,
+         len(list_distinct(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS words,
          (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':1'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM documents),
-k AS (SELECT *, -ln(u) / (1.0::DOUBLE / (1.0::DOUBLE + marks::DOUBLE / greatest(size, 1)::DOUBLE)) AS key FROM d),
+q AS (SELECT *, coalesce(letters::DOUBLE / greatest(solid, 1)::DOUBLE * least(1.0::DOUBLE, words::DOUBLE / sqrt(2.0::DOUBLE * greatest(size, 1)::DOUBLE)), 0.0::DOUBLE) AS weight FROM d),
+k AS (SELECT *, -ln(u) / (CASE WHEN weight > 0.000001::DOUBLE THEN weight ELSE 0.000001::DOUBLE END) AS key FROM q),
 t AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM t),
 w AS (SELECT *, (CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM r),
