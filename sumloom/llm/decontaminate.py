@@ -4,17 +4,25 @@ The items are the indexed side: an inverted index whose postings carry BM25 impa
 items with the largest impact of each term in each block. Every document is cut into passages of
 ``PASSAGE`` words that overlap by half, and every passage is a query: all items are retrieved whose
 score reaches ``share`` of what the item's own text would score (of as many of its words as a
-passage can hold). Block maxima bound the score of every item of a block; bounds of all passages
-are formed at once, and only blocks that can reach the threshold of one of their items are walked,
-by WAND: postings lists sorted by their next item, a pivot where the bounds first reach it, lists
-ahead of the pivot skipped to it.
+passage can hold). The search is block-max WAND for many passages at once:
+
+1. *pivot terms*: with the terms of a passage in the order of their largest impacts, those before the
+   place where the impacts add up to the least threshold can't lift any item to it by themselves; so
+   only the postings from that place on (the rarer terms) are opened, and lead to blocks;
+2. *block maxima*: a block goes on if its maxima of the opened terms and the largest impacts of the
+   others reach its threshold, then if its maxima of all terms do; other blocks are skipped whole;
+3. *WAND* in the blocks that are left: postings lists sorted by their next item, a pivot where the
+   bounds first reach the threshold, lists ahead of the pivot skipped to it.
+
+Work follows the postings of rare terms; no passage meets all items or all blocks.
 
 A retrieved item counts as leaked if the document holds enough of its word sequences, both of its
 question (all but the last sentence) and of its answer (the last sentence; the last third of the
 words where there is only one sentence).
 
-The index of at most ``part_items`` items goes to the tasks with the plan; a larger test set is
-handled part by part, each over all documents, with the statistics of the whole set in each part.
+The index of at most ``part_items`` items and ``PART_BYTES`` bytes goes to the tasks with the plan; a
+larger test set is handled part by part, each over all documents, with the statistics of the whole
+set in each part, so results don't depend on the parts.
 
 Words are runs of letters and digits, A-Z in lower case. Edge cases: null and empty texts match
 nothing, on either side; items without words are ignored; rows that repeat a document are judged
@@ -38,8 +46,10 @@ from sumloom.llm.common import LOWER, U64, Words, chunks, grams, materialize, ta
 PASSAGE = 64
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 2
-#: Terms, by how many items hold them, that bounds treat as common.
-COMMON = 256
+#: (passage, block) pairs whose terms are looked up at once.
+LOOKUPS = 1 << 14
+#: Bytes of test items in one part of the index.
+PART_BYTES = 16 << 20
 _SPACE = np.ones(256, dtype=bool)
 _SPACE[48:58] = _SPACE[65:91] = _SPACE[97:123] = _SPACE[128:] = False
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -108,14 +118,15 @@ class Index:
         self.block_bound = np.zeros(len(self.pair))
         np.maximum.at(self.block_bound, at, impact)
         self.block_threshold = np.array([self.threshold[b * BLOCK_ITEMS : (b + 1) * BLOCK_ITEMS].min() for b in range(self.n_blocks)])
-        # Bounds take the terms of most items from a matrix, each once a passage, and the others,
-        # which a passage seldom has, from their lists of blocks.
-        self.rank = np.full(len(self.terms) + 1, -1, dtype=np.int64)
-        often = np.argsort(-df, kind="stable")[:COMMON]
-        self.rank[often] = np.arange(len(often))
-        self.common_max = self.block_bounds(np.repeat(often, self.n_blocks), np.tile(np.arange(self.n_blocks), len(often))).reshape(len(often), self.n_blocks).astype(np.float32)
-        self.block_start = np.searchsorted(self.pair, np.arange(len(self.terms) + 2) * max(self.n_blocks, 1))
+        # Terms in the order of their largest impacts, with their blocks in that order.
+        self.block_start = np.searchsorted(self.pair, np.arange(len(self.terms) + 1) * max(self.n_blocks, 1))
         self.block_of = self.pair % max(self.n_blocks, 1)
+        largest = np.maximum.reduceat(impact, self.start[:-1]) if n else np.empty(0)
+        self.by_rank = np.argsort(largest, kind="stable")
+        self.rank = np.empty(len(self.terms) + 1, dtype=np.int64)
+        self.rank[self.by_rank], self.rank[-1] = np.arange(len(self.terms)), len(self.terms)
+        self.largest = largest[self.by_rank]
+        self.least = self.threshold.min() if n else np.inf
         self.n_gram = n_gram
         self.parts = [tuple(_sequences(x, n_gram) for x in question_and_answer(t)) for _, t in items]
         self.sizes = [tuple(max(1, min(n_gram, len(_hashes([x]).hash))) for x in question_and_answer(t)) for _, t in items]
@@ -138,21 +149,35 @@ class Index:
         at = np.minimum(np.searchsorted(self.pair, key), max(len(self.pair) - 1, 0))
         return np.where(self.pair[at] == key, self.block_bound[at], 0.0) if len(self.pair) else np.zeros(len(key))
 
-    def bounds(self, term: np.ndarray, piece: np.ndarray, n_pieces: int, follows: np.ndarray) -> np.ndarray:
-        """[passage, block] upper bounds of scores. A passage is a piece and, where ``follows``, the
-        next one; ``piece``: of each word."""
-        rank = self.rank[term]
-        often = np.flatnonzero(rank >= 0)
-        has = np.zeros((n_pieces, len(self.common_max)), dtype=bool)
-        has[piece[often], rank[often]] = True
-        has[follows] |= has[follows + 1]
-        rare = np.flatnonzero((rank < 0) & (term < len(self.terms)))
-        first, n = self.block_start[term[rare]], self.block_start[term[rare] + 1] - self.block_start[term[rare]]
-        at = np.repeat(first, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
-        key = np.repeat(piece[rare], n) * self.n_blocks + self.block_of[at]
-        total = np.bincount(key, weights=self.block_bound[at], minlength=n_pieces * self.n_blocks).reshape(n_pieces, self.n_blocks)
-        total[follows] += total[follows + 1]
-        return total + (has.astype(np.float32) @ self.common_max) * (1 + 1e-5)
+    def candidates(self, passage: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From distinct (passage, rank of a term) pairs, sorted: the (passage, block) pairs, sorted, that
+        can hold an item at its threshold, and for each where its passage's pairs begin. (Steps 1, 2.)"""
+        first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]])) if len(passage) else np.empty(0, np.int64)
+        sizes = np.diff(np.append(first, len(passage)))
+        run = np.cumsum(self.largest[rank])
+        run -= np.repeat(run[first] - self.largest[rank[first]], sizes)  # sum of the passage's impacts so far
+        slack = 1 - 1e-9
+        opened = run >= self.least * slack
+        group = np.repeat(np.arange(len(first)), sizes)
+        below = np.zeros(len(first))  # what the terms that are not opened add at most
+        np.maximum.at(below, group[~opened], run[~opened])
+        term, group = self.by_rank[rank[opened]], group[opened]
+        begin, n = self.block_start[term], np.diff(self.block_start)[term]
+        at = np.repeat(begin, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+        key, place = np.unique(np.repeat(group, n) * self.n_blocks + self.block_of[at], return_inverse=True)
+        bound = np.bincount(place, weights=self.block_bound[at], minlength=len(key))
+        group, block = np.divmod(key, self.n_blocks)
+        keep = bound + below[group] >= self.block_threshold[block] * slack
+        group, block = group[keep], block[keep]
+        kept = [np.zeros(0, dtype=bool)]
+        for i in range(0, len(group), LOOKUPS):  # now with the block's maxima of all terms
+            g, b = group[i : i + LOOKUPS], block[i : i + LOOKUPS]
+            n = sizes[g]
+            cuts = np.cumsum(n) - n
+            at = np.repeat(first[g], n) + (np.arange(int(n.sum())) - np.repeat(cuts, n))
+            kept.append(np.add.reduceat(self.block_bounds(self.by_rank[rank[at]], np.repeat(b, n)), cuts) >= self.block_threshold[b] * slack)
+        keep = np.concatenate(kept)
+        return group[keep], block[keep], first
 
     def wand(self, terms: np.ndarray, block: int) -> list[tuple[int, float]]:
         """Items of a block that reach their thresholds for a set of terms, with their scores."""
@@ -202,17 +227,22 @@ class Index:
         doc = np.repeat(np.arange(len(pieces)), pieces)
         start = words.first[:-1][doc] + (np.arange(total) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * half
         cuts = np.append(start, words.first[-1])
-        follows = np.flatnonzero(doc[1:] == doc[:-1])
-        passage = self.bounds(term, np.repeat(np.arange(total), np.diff(cuts)), total, follows)
+        # A passage is a piece and, in the same document, the next one.
+        piece, rank = np.repeat(np.arange(total), np.diff(cuts)), self.rank[term]
+        known = rank < len(self.terms)
+        piece, rank = piece[known], rank[known]
+        back = (piece > 0) & (doc[piece] == doc[piece - 1])
+        width = len(self.terms) + 1
+        pairs = np.sort(np.concatenate([piece * width + rank, (piece[back] - 1) * width + rank[back]]))
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+        passage, rank = np.divmod(pairs, width)
+        group, block, first = self.candidates(passage, rank)
+        ends = np.append(first[1:], len(passage))
         out: dict[int, dict[int, float]] = {}
-        for p, b in zip(*np.nonzero(passage >= self.block_threshold), strict=True):
-            end = cuts[p + 2] if p + 1 < total and doc[p + 1] == doc[p] else cuts[p + 1]
-            terms = np.unique(term[start[p] : end])
-            terms = terms[terms < len(self.terms)]
-            if self.block_bounds(terms, b).sum() < self.block_threshold[b]:
-                continue
-            for k, score in self.wand(terms, int(b)):
-                best = out.setdefault(int(doc[p]), {})
+        for g, b in zip(group.tolist(), block.tolist(), strict=True):
+            terms = self.by_rank[rank[first[g] : ends[g]]]
+            for k, score in self.wand(np.sort(terms), b):
+                best = out.setdefault(int(doc[passage[first[g]]]), {})
                 best[k] = max(best.get(k, 0.0), score / self.threshold[k] if self.threshold[k] else 1.0)
         return out
 
@@ -251,11 +281,11 @@ def _parts(items: DataFrame, part_items: int) -> Iterator[tuple[list[tuple[int,
     """The items in bounded parts. Each part is collected by itself when its turn comes, with how many
     items of all parts hold its terms."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    n = rows.count()
-    if n <= part_items:
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if n <= part_items and size <= PART_BYTES:
         yield [(r.item_id, r.text) for r in rows.orderBy("item_id", "text").collect()], None
         return
-    parts = -(-n * 2 // part_items)
+    parts = max(-(-n * 2 // part_items), -(-size * 2 // PART_BYTES))
     dealt = materialize(rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), "items")
     total = dealt.select("text").mapInArrow(_lengths, "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
     pairs = materialize(dealt.select("part", "text").mapInArrow(_terms, "part long, h long").groupBy("part", "h").agg(F.count("*").alias("c")), "terms")
@@ -270,7 +300,7 @@ def _parts(items: DataFrame, part_items: int) -> Iterator[tuple[list[tuple[int,
 
 def _judge(index: Index, overlap: float, batch: pa.RecordBatch):
     """For each document of a batch: (number of items retrieved, [(item id, share of threshold, overlap)])."""
-    for part, buf, bounds in chunks(batch, limit=max(1 << 15, (1 << 21) * 128 // max(128, index.n_blocks))):
+    for part, buf, bounds in chunks(batch):
         words = Words(buf, bounds, LOWER, space=_SPACE)
         found = index.retrieve(words)
         for d in range(part.num_rows):
