@@ -1,13 +1,14 @@
 """Quality grades from texts by ordinal cumulative-link regression.
 
 Graded ratings 0..K-1 follow P(grade >= k) = sigmoid(w . x - t_k) with one weight vector over
-hashed byte trigrams (log counts, unit length) for all grades and ordered thresholds t_1 < t_2 ...
+hashed byte trigrams (log counts, unit length, 16-bit floats) for all grades and ordered thresholds t_1 < t_2 ...
 The model is fitted on a sample of labelled documents of bounded size (``max_train``, drawn by a
 hash of doc_id); scores are made for every whole text.
 
 Edge cases: null and empty texts have no trigram, so only the thresholds speak; labels that are
 null or belong to no document are not learned from; rows of labels that repeat a doc_id with one
-grade count once; without two different grades there is no model, the expected grade is the one
+grade count once; rows of documents that repeat a doc_id are learned from each, at most twice
+``max_train`` in all; every row is judged by its own text; without two different grades there is no model, the expected grade is the one
 grade there is (or null) and everything is kept; extra columns are not read.
 """
 
@@ -32,7 +33,8 @@ def features(buf: np.ndarray, bounds: np.ndarray, dims: int) -> np.ndarray:
     doc = np.repeat(np.arange(n), np.diff(cuts))
     x = np.log1p(np.bincount(doc * dims + slot, minlength=n * dims).astype(np.float32).reshape(n, dims))
     x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
-    return x
+    # The form in which training rows travel; scores are made of the same one.
+    return x.astype(np.float16).astype(np.float32)
 
 
 def _blocks(batch: pa.RecordBatch):
@@ -47,7 +49,7 @@ def _training(dims: int):
         for batch in batches:
             for part, buf, bounds in _blocks(batch):
                 x = features(buf, bounds, dims)
-                yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array([(r * 255).astype(np.uint8).tobytes() for r in x], pa.binary())], names=["grade", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("place"), part.column("grade"), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["place", "grade", "x"])
 
     return run
 
@@ -92,11 +94,12 @@ def fit(docs: DataFrame, ratings: DataFrame, dims: int = DIMS, max_train: int =
     # At most max_train rows, so the broadcast and what the driver gets are bounded.
     chosen = ratings.distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "grade").limit(max_train)
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = held.select("grade", "text").mapInArrow(_training(dims), "grade int, x binary").limit(2 * max_train).collect()
+    held = held.select(F.xxhash64("doc_id", "text", F.lit(seed)).alias("place"), "grade", "text")
+    rows = held.mapInArrow(_training(dims), "place long, grade int, x binary").orderBy("place", "grade").limit(2 * max_train).collect()
     grades = sorted({r.grade for r in rows})
     if len(grades) < 2:
         return None, grades
-    x = np.frombuffer(b"".join(r.x for r in rows), dtype=np.uint8).reshape(len(rows), dims).astype(np.float32) / 255
+    x = np.frombuffer(b"".join(r.x for r in rows), dtype=np.float16).reshape(len(rows), dims).astype(np.float32)
     return CumulativeLink.fit(x, np.searchsorted(grades, [r.grade for r in rows]), len(grades)), grades
 
 
