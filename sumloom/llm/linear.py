@@ -27,8 +27,10 @@ def trigram_slots(buf: np.ndarray, bounds: np.ndarray, dims: int, fold: np.ndarr
 
 def segment_sums(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Sums of x between cuts, 0 where nothing lies between."""
-    total = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
-    return total[cuts[1:]] - total[cuts[:-1]]
+    out, full = np.zeros(len(cuts) - 1), cuts[1:] > cuts[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(x[: cuts[-1]], cuts[:-1][full], dtype=np.float64)
+    return out
 
 
 def stable_unit(ids: np.ndarray, seed: int) -> np.ndarray:

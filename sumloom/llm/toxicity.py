@@ -3,15 +3,20 @@
 Features of a text: densities of a lexicon (a short fixed list, and words and five-byte stems
 learned from the training rows), nearness of its hits to second-person words, rates of
 capitals, exclamation and other marks, and of obfuscated words (digits or marks for letters, letters
-drawn out). Trees are fitted on features from lexicons that the other half of the training rows has
-taught, the calibration on rows that the trees have not seen.
+drawn out). Three tenths of the labelled rows are set aside. Of the others, trees are fitted on features
+from lexicons that the other half has taught, and the lexicons of the model are taught by all. Lexicons
+and trees of the model then give the rows set aside their raw scores, as they give them to every
+text, and isotonic regression turns those into probabilities. (Without both kinds among the rows
+set aside all rows teach, and the calibration is on their own features.) A score is the isotonic
+value but for a five-hundredth of the logistic of the raw score, which keeps the order inside a step.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0, at most ``max_train``
 of them (by a hash of doc_id). Texts are the only input of a score.
 
 Edge cases: null and empty texts have all features 0 and the score that goes with that; with
 labels of one kind only there is no model, and every score is their mean (0 without labels); rows
-of labels that repeat a doc_id each count; extra columns are not read.
+of labels that repeat a doc_id each count, and rows of documents that repeat one are scored each;
+whole texts are scored, however long; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumloom.llm.common import BYTE_VALUE, LOWER, U64, Words, chunks, mix, table
-from sumloom.llm.linear import segment_sums, stable_unit
+from sumloom.llm.linear import segment_sums
 from sumloom.llm.trees import Boosted, Isotonic
 
 MAX_TRAIN = 12_000
@@ -82,23 +87,23 @@ def features(buf: np.ndarray, bounds: np.ndarray, words_lex: Lexicon, stems_lex:
     w, s = words_lex.look(words.hash), stems_lex.look(_stems(words))
     hit = seed | (w > 0) | (s > 0)
     second = np.isin(words.hash, _SECOND_HASHES)
-    around = np.concatenate([[0], np.cumsum(second)])
+    around = np.concatenate([[0], np.cumsum(second, dtype=np.int32)])
     at = np.arange(len(second))
     near = hit & (around[np.minimum(at + 6, len(second))] - around[np.maximum(at - 5, 0)] > 0)
     by = lambda x: segment_sums(x, cuts)
     per_byte = lambda x: segment_sums(x, bounds)
     upper = (buf >= 65) & (buf <= 90)
     first_letter = buf[words.start] if len(words.start) else np.empty(0, np.uint8)
-    up_count = np.concatenate([[0], np.cumsum(upper)])
+    up_count = np.concatenate([[0], np.cumsum(upper, dtype=np.int32)])
     length = words.end - words.start
     shouted = (length > 2) & (up_count[words.end] - up_count[words.start] == length) & (first_letter < 128)
     ascii_ = buf < 128
     marks = ascii_ & ~_LETTER[buf] & (buf > 32) & ~((buf >= 48) & (buf <= 57))
     leet = Words(buf, bounds, _LEET, space=~_LETTER)
-    plain = np.concatenate([[0], np.cumsum(_LETTER[buf])])
+    plain = np.concatenate([[0], np.cumsum(_LETTER[buf], dtype=np.int32)])
     disguised = (plain[leet.end] - plain[leet.start] < leet.end - leet.start) & (plain[leet.end] - plain[leet.start] >= 2)
     leet_hit = disguised & (np.isin(leet.hash, _SEED_HASHES) | (words_lex.look(leet.hash) > 0))
-    drawn = np.zeros(len(buf))
+    drawn = np.zeros(len(buf), dtype=bool)
     if len(buf) > 2:
         low = LOWER[buf]
         drawn[2:] = (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & _LETTER[buf[2:]]
@@ -175,31 +180,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed: in
     chosen = labels.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "toxic").limit(max_train)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").persist()
     half = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)) == 0
+    aside = F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(10)) < 3
+    vectors = "doc_id long, toxic int, x array<double>"
+
+    def featured(some: DataFrame, lexicons: tuple[Lexicon, Lexicon]) -> tuple[np.ndarray, np.ndarray]:
+        got = some.select("doc_id", "text", "toxic").mapInArrow(_featured(*lexicons), vectors).toArrow()
+        order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+        x = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, len(NAMES))
+        return x[order], got.column("toxic").to_numpy().astype(float)[order]
+
     try:
-        sizes = rows.groupBy(half.alias("half")).agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()
-        toxic, n = sum(r.t for r in sizes), sum(r.n for r in sizes)
-        if toxic in (0, n):
-            return Scorer(None, None, None, None, toxic / n if n else 0.0)
-        by = {r.half: (r.t, r.n - r.t) for r in sizes}
+        sizes = rows.groupBy(aside.alias("aside"), half.alias("half")).agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()
+
+        def kinds(wanted) -> tuple[int, int]:
+            found = [(r.t, r.n - r.t) for r in sizes if wanted(r)]
+            return sum(x[0] for x in found), sum(x[1] for x in found)
+
+        toxic, clean = kinds(lambda r: True)
+        if not toxic or not clean:
+            return Scorer(None, None, None, None, float(toxic > 0))
+        apart = 0 not in kinds(lambda r: r.aside) and 0 not in kinds(lambda r: not r.aside)
+        pool = rows.where(~aside) if apart else rows
         parts = []
-        for learn, use in ((half, ~half), (~half, half)):  # each half is looked up in what the other taught
-            lexicons = _lexicons(rows.where(learn).select("text", "toxic"), *by.get(learn is half, (0, 0)))
-            parts.append(rows.where(use).select("doc_id", "text", "toxic").mapInArrow(_featured(*lexicons), "doc_id long, toxic int, x array<double>").toArrow())
-        words_lex, stems_lex = _lexicons(rows.select("text", "toxic"), toxic, n - toxic)
-        got = pa.concat_tables(parts)
+        for first in (True, False):  # each half is looked up in what the other taught
+            taught = kinds(lambda r, first=first: r.half == first and not (apart and r.aside))
+            parts.append(featured(pool.where(~half if first else half), _lexicons(pool.where(half if first else ~half).select("text", "toxic"), *taught)))
+        lexicons = _lexicons(pool.select("text", "toxic"), *kinds(lambda r: not (apart and r.aside)))
+        x, y = (np.concatenate(z) for z in zip(*parts, strict=True))
+        x_aside, y_aside = featured(rows.where(aside), lexicons) if apart else (x, y)
     finally:
         rows.unpersist()
-    x, y, ids = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, len(NAMES)), got.column("toxic").to_numpy().astype(float), got.column("doc_id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    x, y, ids = x[order], y[order], ids[order]
-    if not len(y):
-        return Scorer(None, None, None, None, toxic / n)
-    held = stable_unit(ids, seed + 2) < 0.3
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.zeros(len(y), dtype=bool)
-    trees = Boosted.fit(x[~held], y[~held])
-    aside = held if held.any() else ~held
-    return Scorer(words_lex, stems_lex, trees, Isotonic.fit(trees.raw(x[aside]), y[aside]), toxic / n)
+    trees = Boosted.fit(x, y)
+    return Scorer(*lexicons, trees, Isotonic.fit(trees.raw(x_aside), y_aside), toxic / (toxic + clean))
 
 
 def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
