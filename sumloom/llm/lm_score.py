@@ -18,9 +18,10 @@ A frequent n-gram is one entry of each block, however often it occurs, and hashe
 evenly, so no key is hot. Memory: a block and its answers, or one partition of bounded size (their
 number follows from the number of words).
 
-Hashes have ``HASH_BITS`` bits. Edge cases: null and empty texts have no words and score 0; the
+Hashes have as many bits as the corpus asks for (:func:`hash_bits`): of its n-grams a share of about
+``2**-SPARE_BITS`` at most is expected to share its hash with another, at any size. Edge cases: null and empty texts have no words and score 0; the
 first words of a document have the context there is; rows that repeat a document are counted and
-scored each; extra columns are not read.
+scored each; a very long text is a block of its own; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,14 +37,20 @@ from sumloom.llm.common import CHUNK_BYTES, U64, Words, chunks, give_back, mater
 
 ALPHA = 0.4
 ORDER = 3
-HASH_BITS = 48
+#: Bits of a hash beyond those of the number of words in the corpus.
+SPARE_BITS = 21
 #: Bytes of text in a block, and distinct n-grams of all blocks in a partition, about.
 BLOCK_BYTES = 16 << 20
 PARTITION_GRAMS = 1_500_000
 _STEP = U64(0xD6E8FEB86659FD93)
 
 
-def _gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+def hash_bits(corpus: int) -> int:
+    """An order has at most as many different n-grams as the corpus has words."""
+    return min(64, max(32, int(corpus).bit_length() + SPARE_BITS))
+
+
+def _gram_hashes(words: np.ndarray, n: int, bits: int) -> np.ndarray:
     """Hashes of words[i : i + n] for all i; callers keep to those inside documents."""
     m = len(words) - n + 1
     if m <= 0:
@@ -52,12 +59,12 @@ def _gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         h *= _STEP
         h += words[j : j + m]
-    return mix(h) >> U64(64 - HASH_BITS)
+    return mix(h) >> U64(64 - bits)
 
 
-def _order_grams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _order_grams(words: np.ndarray, first: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(start word of each n-gram inside a document, its hash)."""
-    h = _gram_hashes(words, n)
+    h = _gram_hashes(words, n, bits)
     ok = np.ones(len(h), dtype=bool)
     for back in range(1, n):
         at = first[1:-1] - back
@@ -161,12 +168,12 @@ def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, first, np.concatenate([h for h, _ in pieces]) if pieces else np.empty(0, U64)
 
 
-def _cuts(parts: int) -> np.ndarray:
+def _cuts(parts: int, bits: int) -> np.ndarray:
     """Bounds of the partitions of the hash space."""
-    return (np.arange(1, parts, dtype=np.float64) / parts * float(1 << HASH_BITS)).astype(U64)
+    return (np.arange(1, parts, dtype=np.float64) / parts * float(1 << bits)).astype(U64)
 
 
-def _requests(order: int, parts: int):
+def _requests(order: int, parts: int, bits: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
@@ -174,8 +181,8 @@ def _requests(order: int, parts: int):
                 row = batch.slice(i, 1).to_pylist()[0]
                 _, first, words = _open(row)
                 for n in range(1, order + 1):
-                    h, c = np.unique(_order_grams(words, first, n)[1], return_counts=True)
-                    at = np.concatenate([[0], np.searchsorted(h, _cuts(parts)), [len(h)]])
+                    h, c = np.unique(_order_grams(words, first, n, bits)[1], return_counts=True)
+                    at = np.concatenate([[0], np.searchsorted(h, _cuts(parts, bits)), [len(h)]])
                     for p in np.flatnonzero(np.diff(at)):
                         lo, hi = at[p], at[p + 1]
                         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([p], pa.int32()), pa.array([row["block"]]), pa.array([_pack_run(h[lo:hi], c[lo:hi])], pa.binary())], names=["n", "part", "block", "run"])
@@ -196,7 +203,7 @@ def _merge(t: pa.Table) -> pa.Table:
     return pa.table({"n": t.column("n"), "part": t.column("part"), "block": t.column("block"), "counts": pa.array(out, pa.binary())})
 
 
-def _score(order: int, min_count: int, corpus: int):
+def _score(order: int, min_count: int, corpus: int, bits: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         inflate = zstandard.ZstdDecompressor().decompress
         ids, first, words = _open(blocks.to_pylist()[0])
@@ -206,7 +213,7 @@ def _score(order: int, min_count: int, corpus: int):
         m = len(words)
         count = {}  # corpus count of the n-gram that ends at each word, 0 where the document has none
         for n, lists in by_order.items():
-            start, h = _order_grams(words, first, n)
+            start, h = _order_grams(words, first, n, bits)
             count[n] = np.zeros(m)
             if len(h):
                 _, place = np.unique(h, return_inverse=True)
@@ -241,11 +248,11 @@ def scores(docs: DataFrame, order: int = ORDER, min_count: int = 2) -> DataFrame
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = materialize(rows.mapInArrow(_blocks, _BLOCK), "blocks")
     corpus = blocks.agg(F.sum("n_words")).first()[0] or 0
-    parts = max(1, -(-corpus // PARTITION_GRAMS))
-    requests = blocks.mapInArrow(_requests(order, parts), "n int, part int, block string, run binary")
+    parts, bits = max(1, -(-corpus // PARTITION_GRAMS)), hash_bits(corpus)
+    requests = blocks.mapInArrow(_requests(order, parts, bits), "n int, part int, block string, run binary")
     answers = requests.groupBy("n", "part").applyInArrow(_merge, "n int, part int, block string, counts binary")
     found = blocks.groupBy("block").cogroup(answers.groupBy("block"))
-    return found.applyInArrow(_score(order, min_count, corpus), "doc_id long, n_words long, n_backed_off long, log_score double, per_word double")
+    return found.applyInArrow(_score(order, min_count, corpus, bits), "doc_id long, n_words long, n_backed_off long, log_score double, per_word double")
 
 
 def op7_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
