@@ -10,7 +10,7 @@ the chain.
 
 Offsets are code points, end exclusive. Edge cases: null and empty texts hold nothing; a match that
 fails its test (parts of an address, checksum, number of digits) is dropped and not tried anew;
-extra columns are not read by :func:`find` and kept by :func:`redact`.
+rows that repeat a document are scanned each; whole texts are scanned, however long; extra columns are not read by :func:`find` and kept by :func:`redact`.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -126,34 +127,35 @@ _ODD = re.compile("[" + re.escape("".join(_GLYPH) + "".join(_UNSEEN) + _FORMS) +
 
 
 class Tape:
-    """A text with the source span of each of its characters, and which of them were rewritten."""
+    """A text with the source span of each of its characters, and which of them were rewritten: nine
+    bytes a character beside the text."""
 
     __slots__ = ("text", "start", "end", "new")
 
-    def __init__(self, text: str, start: list[int], end: list[int], new: list[bool]):
+    def __init__(self, text: str, start: array, end: array, new: bytearray):
         self.text, self.start, self.end, self.new = text, start, end, new
 
     @classmethod
     def of(cls, text: str) -> Tape:
         n = len(text)
-        return cls(text, list(range(n)), list(range(1, n + 1)), [False] * n)
+        return cls(text, array("i", range(n)), array("i", range(1, n + 1)), bytearray(n))
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Tape:
         """Replace [a, b) by a string, for edits in order that don't overlap. One character stands for
         the whole of what it replaces; several share it in equal steps where there are enough."""
         if not edits:
             return self
-        text, start, end, new, at = [], [], [], [], 0
+        text, start, end, new, at = [], array("i"), array("i"), bytearray(), 0
         for a, b, put in edits:
             text.append(self.text[at:a] + put)
             start += self.start[at:a]
             end += self.end[at:a]
             new += self.new[at:a]
-            start += [self.start[a]] * len(put)
-            end += [self.end[b - 1]] * len(put)
-            new += [True] * len(put)
+            start += array("i", [self.start[a]]) * len(put)
+            end += array("i", [self.end[b - 1]]) * len(put)
+            new += b"\1" * len(put)
             if not put and new:
-                new[-1] = True
+                new[-1] = 1
             at = b
         text.append(self.text[at:])
         return Tape("".join(text), start + self.start[at:], end + self.end[at:], new + self.new[at:])
@@ -242,9 +244,9 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         return base, base
     tape = _at_and_dot(_digits(_characters(Tape.of(text))))
     added = []
-    if True in tape.new:
+    if 1 in tape.new:
         for a, b, kind in spans_of(tape.text):
-            if True in tape.new[a:b]:
+            if 1 in tape.new[a:b]:
                 s, e = tape.start[a], tape.end[b - 1]
                 while s < e and text[s] == " ":
                     s += 1
