@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share. Where the session names none, a folder of our own will do
+    only if driver and executors are one machine; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             found = tempfile.mkdtemp(prefix="sumloom-shared-")
             atexit.register(shutil.rmtree, found, True)
@@ -45,13 +50,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: The folder of each table that materialize() has written and release() may delete.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, and a
     lost executor costs nothing that was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sumloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that no later plan reads. What was made of them must be
+    written by then; other DataFrames are left alone."""
+    for df in tables:
+        path = _WRITTEN.pop(df, None)
+        if path is not None:
+            context = df.sparkSession.sparkContext
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 # ---------------------------------------------------------------------------------- packed texts
@@ -159,9 +181,16 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.buf, self.bounds = buf, bounds
         self.first = np.searchsorted(self.start, bounds)
-        prefix = np.zeros(n + 1, dtype=U64)
-        np.cumsum(BYTE_VALUE[buf] * powers(_BASE, n), out=prefix[1:])
-        self.hash = mix((prefix[self.end] - prefix[self.start]) * powers(_BASE_INV, n + 1)[self.start])
+        self.hash = np.empty(len(self.start), dtype=U64)
+        i = 0
+        while i < len(self.start):  # a long text in pieces of about a chunk: sums take many bytes for each byte of text
+            j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + 2 * CHUNK_BYTES)))
+            lo, hi = int(self.start[i]), int(self.end[j - 1])
+            prefix = np.zeros(hi - lo + 1, dtype=U64)
+            np.cumsum(BYTE_VALUE[buf[lo:hi]] * powers(_BASE, hi - lo), out=prefix[1:])
+            start, end = self.start[i:j] - lo, self.end[i:j] - lo
+            self.hash[i:j] = mix((prefix[end] - prefix[start]) * powers(_BASE_INV, hi - lo + 1)[start])
+            i = j
 
     @property
     def counts(self) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumloom.llm.common import materialize
+from sumloom.llm.common import materialize, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,24 +13,28 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the smallest node of its neighbourhood."""
+    """Link every larger neighbour of a node to the smallest node of its neighbourhood, written."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # The minima are written so that the join below reads plain exchanges on both sides, which
     # adaptive execution can split where a hub holds most edges.
     least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large-star")
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    out = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "stars")
+    release(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Link a node and its smaller neighbours to the smallest of them. Edges have u > v."""
+    """Link a node and its smaller neighbours to the smallest of them, written. Edges have u > v."""
     least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "small-star")
     rest = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.union(least.select("u", F.col("m").alias("v"))).distinct()
+    out = materialize(rest.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    release(least)
+    return out
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, root) for every node of ``edges`` (two long columns): root is the smallest id that the
-    node reaches. Nulls and self-loops link nothing; a node with only such edges has no row."""
+    node reaches, as a written table. Nulls and self-loops link nothing; a node with only such edges has no row."""
     a, b = edges.columns[:2]
     plain = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
     now = materialize(plain.where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("u != v").distinct(), "edges")
@@ -38,10 +42,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
-        now = materialize(_small_star(materialize(_large_star(now), "stars")), "edges")
+        stars = _large_star(now)
+        release(now)
+        now = _small_star(stars)
+        release(stars)
         before, state = state, _state(now)
         if state == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    out = materialize(now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()), "roots")
+    release(now)
+    return out

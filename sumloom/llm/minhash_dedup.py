@@ -17,7 +17,9 @@ large-star and small-star steps.
 Edge cases: null and empty texts, and texts of white space, have an empty set and link with
 nothing. With fewer than ``k`` words the whole sequence is the one shingle. Rows that repeat a
 doc_id are documents of their own with the same id; a null doc_id is ignored when the smallest id
-of a component is taken (a component of such rows alone has a null id, and its rows are kept).
+of a component is taken (a component of such rows alone has a null id, and its rows are kept). An
+empty table gives no rows; extra columns are not read. Tables written on the way are deleted once
+what was made of them is written.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumloom.llm.common import LOWER, U64, Words, chunks, deflated, grams, inflate, materialize, mix, powers, table
+from sumloom.llm.common import LOWER, U64, Words, chunks, deflated, grams, inflate, materialize, mix, powers, release, table
 from sumloom.llm.components import connected_components
 
 #: At similarity 0.75 a pair shares no band with probability (1 - 0.75**5)**36 = 6e-5.
@@ -229,11 +231,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 75, bands: int
     banded = signed.where("n_shingles > 0").select("cls", F.explode("bands").alias("key"))
     shared = materialize(banded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("key"), "shared")
     members = materialize(banded.join(shared, "key").distinct(), "members")
+    release(shared)
     candidates = materialize(members.select("cls").distinct(), "candidates")
     first = classes.join(candidates, "cls", "left_semi").select(F.col("first_row").alias("rid")).distinct()
     sets = deflated(texts.select("rid", "text")).join(first.hint("merge"), "rid", "left_semi").mapInArrow(_sets(k), SETS)
     sigs = signed.join(candidates, "cls", "left_semi").join(classes.select("cls", F.col("first_row").alias("rid")), ["cls", "rid"], "left_semi").select("cls", "sig").dropDuplicates(["cls"])
     sets = materialize(sets.join(sigs, "cls").dropDuplicates(["cls"]), "sets")
+    release(candidates)
 
     # A sample of long sets will do: it only chooses the centres.
     own = sets.select("cls", F.explode("sample").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("cls").alias("cls")).where("c = 1").groupBy("cls").agg(F.count("*").alias("own"))
@@ -241,20 +245,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 75, bands: int
     rated = members.join(novelty, "cls")
     centres = materialize(rated.groupBy("key").agg(F.min(F.struct("novelty", "cls")).alias("c")).select("key", F.col("c.cls").alias("centre")), "centres")
     pair = (F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b"))
-    stars = materialize(_verified(materialize(members.join(centres, "key").where("cls != centre").select(*pair).distinct(), "pairs"), sets, threshold), "stars")
-    roots = materialize(connected_components(stars), "roots")
+    pairs = materialize(members.join(centres, "key").where("cls != centre").select(*pair).distinct(), "pairs")
+    stars = materialize(_verified(pairs, sets, threshold), "stars")
+    release(novelty, centres, pairs)
+    roots = connected_components(stars)
 
     placed = members.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     placed = materialize(placed, "placed")
+    release(members, stars)
     split = materialize(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who")).where("lo != hi").groupBy("c", "who").agg(F.min("key").alias("key")).select("key"), "split")
     open_ = materialize(placed.join(split, "key"), "open")
+    release(placed, split)
     doubtful = materialize(open_.select("cls").distinct(), "doubtful")
     unlike = sets.join(doubtful, "cls", "left_semi").select("cls", "elements").mapInArrow(_elements, "h long, cls long")
     unlike = unlike.groupBy("h").agg(F.count("*").alias("c"), F.min("cls").alias("cls")).where("c = 1").groupBy("cls").agg(F.count("*").alias("u"))
     able = sets.join(unlike, "cls", "left").select("cls", "n", "sig", "low", F.coalesce("u", F.lit(0)).alias("u")).where(f"100 * (n - u) >= {threshold} * n")
-    able = materialize(open_.join(materialize(able, "able"), "cls"), "able-open")
+    able_cls = materialize(able, "able")
+    able = able_open = materialize(open_.join(able_cls, "cls"), "able-open")
+    release(open_, doubtful, able_cls)
     counted = materialize(able.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "counted")
     able = materialize(able.join(counted, "key"), "able-counted")
+    release(able_open, counted)
     keys = able.groupBy("cls").agg(F.collect_set("key").alias("keys"))
     dealt = able.join(keys, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -264,16 +275,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 75, bands: int
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "cls", "root", "n", "u", "sig", "low", "keys",
     )
     rest = dealt.groupBy("key", "i", "j").applyInArrow(_across(threshold), "a long, b long").distinct()
-    links = _verified(materialize(rest, "rest"), sets, threshold)
+    rest = materialize(rest, "rest")
+    release(able)
+    links = _verified(rest, sets, threshold)
     top = roots.select("id", "root")
     joined = links.join(top.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(top.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
     edges = materialize(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct(), "links")
-    merged = materialize(connected_components(edges), "merged")
+    release(rest, sets)
+    merged = connected_components(edges)
     homes = classes.select("cls", "first_doc", "class_size").join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     homes = homes.join(merged.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", F.coalesce("top", "root")).select("cls", "first_doc", "class_size", "top")
     homes = materialize(homes, "homes")
+    release(edges, merged, roots, classes)
     least = materialize(homes.groupBy("top").agg(F.min("first_doc").alias("component_id")), "least")
     named = materialize(homes.join(least, "top").select("cls", "class_size", "component_id"), "named")
+    release(homes, least)
     full = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "cls").join(named, "cls").select("doc_id", "n_shingles", "component_id", "class_size")
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
     return full.union(empty).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_size")
