@@ -20,6 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sumloom.functions.paths import coquantile_array, coquantile_column, path_column
+from sumloom.functions.quantiles import quantiles
 from sumloom.series import Series
 
 
@@ -33,6 +34,11 @@ def _increments(x: np.ndarray, shift: int = 1) -> np.ndarray:
 class Sieve:
     """Common part; ``fitted``: values of the edges that need data, in the order of :meth:`asked`."""
 
+    @property
+    def share(self) -> float:
+        """Share of the series of the fit sample that edges are fitted on."""
+        return getattr(self, "sample_size", 1.0)
+
     def asked(self) -> tuple[float, ...]:
         """Quantiles to fit on the values of :meth:`shaped`."""
         return ()
@@ -350,8 +356,12 @@ class PPV(Sieve):
     quantile: float | tuple[float, ...] = 0.5
     constant: bool | tuple[bool, ...] = False
     segments: bool = False
+    #: share of the series that quantiles are fitted on, drawn by hash
+    sample_size: float = 1.0
 
     def __post_init__(self) -> None:
+        if not 0 < self.sample_size <= 1:
+            raise ValueError("a sample is a share in (0, 1]")
         if any(not c and not 0 <= q <= 1 for q, c in self.pairs):
             raise ValueError("a fitted quantile lies between 0 and 1")
 
@@ -415,6 +425,10 @@ class CPV(PPV):
 class Wrapped(Sieve):
     inner: Sieve = field(default_factory=NPI)
 
+    @property
+    def share(self):
+        return self.inner.share
+
     def asked(self):
         return self.inner.asked()
 
@@ -469,7 +483,8 @@ class INT(Wrapped):
 
 
 def quantiles_long(s: Series, sieves: list[Sieve]) -> dict[tuple[int, str], tuple[float, ...]]:
-    """Fitted edges of sieve i on each dimension, exact, from one aggregate."""
+    """Fitted edges of sieve i on each dimension, exact. A sieve with ``sample_size`` needs the column
+    __u, a number in [0, 1) for each series, of :func:`sampled`."""
     asked, cols = [], []
     for i, sieve in enumerate(sieves):
         if sieve.asked():
@@ -484,8 +499,23 @@ def quantiles_long(s: Series, sieves: list[Sieve]) -> dict[tuple[int, str], tupl
                     inner = inner.inner
                 s, name = inner.shaped_long(s, dim, tag)
                 asked.append((i, d))
-                cols.append(F.percentile(F.col(name), F.array(*[F.lit(q) for q in sieve.asked()])).alias(f"p{len(cols)}"))
-    return dict(zip(asked, (tuple(v) for v in s.df.agg(*cols).first()), strict=True)) if cols else {}
+                cols.append(F.when(F.col("__u") < sieve.share, F.col(name)) if sieve.share < 1 else F.col(name))
+    return dict(zip(asked, quantiles(s.df, cols, [sieves[i].asked() for i, _ in asked]), strict=True)) if cols else {}
+
+
+def unit(key: Column | str, seed: int) -> Column:
+    """A number in [0, 1) for each series, by which samples are drawn."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+
+
+def sampled(s: Series, sieves: list[Sieve], seed: int = 0) -> Series:
+    """s with __u, where a sieve is fitted on a share of the series; the series of the least number is
+    in every sample."""
+    if all(x.share >= 1 for x in sieves):
+        return s
+    s = s.add({"__u": unit(s.key, seed)})
+    least = s.df.agg(F.min("__u")).first()[0]
+    return s.add({"__u": F.when(F.col("__u") == F.lit(least), 0.0).otherwise(F.col("__u"))})
 
 
 def features_long(s: Series, sieves: list[Sieve], fitted: dict | None = None, names: list[str] | None = None) -> tuple[Series, list[Column]]:
@@ -501,6 +531,6 @@ def features_long(s: Series, sieves: list[Sieve], fitted: dict | None = None, na
 def sieve(s: Series, sieves: list[Sieve], fitted: dict | None = None):
     """One row a series: the key, f0, f1, ..."""
     if fitted is None:
-        fitted = quantiles_long(s, sieves)
+        fitted = quantiles_long(sampled(s, sieves), sieves)
     s, cols = features_long(s, sieves, fitted)
     return s.df.groupBy(s.key).agg(*cols)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumloom.operators.prepare import Preparateur
-from sumloom.operators.sieves import Sieve, features_long, quantiles_long
+from sumloom.operators.sieves import Sieve, features_long, quantiles_long, sampled, unit
 from sumloom.operators.sums import CosineSums, IteratedSums
 from sumloom.series import Series
 
@@ -31,6 +31,8 @@ FIT_TASKS = 64
 FIT_EDGES = 128
 #: Values of all derived series together that the last pass sends to the driver.
 FIT_VALUES = 2_000_000
+#: Features that are computed at once, about.
+OUT_VALUES = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -196,7 +198,8 @@ class Pipeline:
                 dims = p.arrays(np.zeros((1, dims, 8)), np.zeros((1, dims, 8))).shape[1]
             s = replace(s, preparateurs=tuple(prepared))
             if any(v.asked() for v in s.sieves):
-                s = replace(s, fitted=_fit_quantiles(packed.sparkSession, s, sample if sample is not None else _sample(packed, s.fit_sample, seed + k), seed + k))
+                sample = sample if sample is not None else _sample(packed, s.fit_sample, seed + k)
+                s = replace(s, fitted=_fit_quantiles(packed.sparkSession, s, _numbered(sample, s, seed + k), seed + k))
             out.append(s)
         return Model(replace(self, slices=tuple(out)))
 
@@ -211,12 +214,21 @@ def _sample(packed: DataFrame, size: int | float, seed: int) -> DataFrame:
     return packed.orderBy(F.xxhash64("series_id", F.lit(seed)), "series_id").limit(n)
 
 
+def _numbered(sample: DataFrame, s: Slice, seed: int) -> DataFrame:
+    """x, and u by which sieves of a ``sample_size`` draw their series (0 without any)."""
+    if all(v.share >= 1 for v in s.sieves):
+        return sample.select("x", F.lit(0.0).alias("u"))
+    least = sample.agg(F.min(unit("series_id", seed))).first()[0]
+    u = unit("series_id", seed)
+    return sample.select("x", F.when(u == F.lit(least), 0.0).otherwise(u).alias("u"))
+
+
 def _fit_quantiles(spark, s: Slice, sample: DataFrame, seed: int) -> dict:
     """Up to MAX_FIT_SERIES series are collected and the sums dealt over tasks. Of more, so many give
     edges around each quantile, and passes over all series count between them."""
-    rows = sample.select("x").orderBy(F.xxhash64("series_id", "x", F.lit(seed))).limit(MAX_FIT_SERIES + 1).toArrow()
+    rows = sample.orderBy(F.xxhash64("x", "u", F.lit(seed))).limit(MAX_FIT_SERIES + 1).toArrow()
     table, whole = pa.Table.from_batches(rows.to_batches()) if rows.num_rows else rows, rows.num_rows <= MAX_FIT_SERIES
-    groups = [c for b in table.combine_chunks().to_batches() for _, c in cubes(b)]
+    groups = [(c, b.column("u").to_numpy()[at]) for b in table.combine_chunks().to_batches() for at, c in cubes(b)]
     if not groups and whole:
         return {}
     asked = [(i, v.asked()) for i, v in enumerate(s.sieves) if v.asked()]
@@ -230,13 +242,14 @@ def _fit_quantiles(spark, s: Slice, sample: DataFrame, seed: int) -> dict:
             for task in batch.column(0).to_pylist():
                 # Neighbours in the trie share their beginnings, so a task takes a run of outputs, one by one.
                 own, out = range(first * task // tasks, first * (task + 1) // tasks), []
-                streams = [s.derived(s.prepare(raw), raw, 0, own) for raw in groups]
+                streams = [s.derived(s.prepare(raw), raw, 0, own) for raw, _ in groups]
                 for k, ys in enumerate(zip(*streams, strict=True), own.start * inner):
                     shaped: dict = {}
                     for i, qs in asked:
-                        key = s.sieves[i].shape_key()
+                        key = (s.sieves[i].shape_key(), s.sieves[i].share)
                         if (key, qs) not in shaped:
-                            values = np.concatenate([s.sieves[i].shaped(y).ravel() for y in ys])
+                            values = np.concatenate([s.sieves[i].shaped(y)[u < key[1]].ravel() for y, (_, u) in zip(ys, groups, strict=True)])
+                            values = values if len(values) else np.zeros(1)  # none of these series is in the sieve's sample
                             near = np.unique(np.clip(np.add.outer(qs, around), 0, 1))
                             shaped[key, qs] = np.quantile(values, qs) if whole else np.unique(np.quantile(values, near, method="nearest"))
                         out.append((k, i, shaped[key, qs]))
@@ -289,13 +302,14 @@ def _counted(s: Slice, targets: list[_Target]):
     def run(batches):
         total: dict = {}
         for batch in batches:
-            for _, raw in cubes(batch):
+            u = batch.column("u").to_numpy()
+            for rows, raw in cubes(batch):
                 for k, y in enumerate(s.derived(s.prepare(raw), raw)):
                     shaped: dict = {}
                     for n, sieve, edges, lo, hi, new in by.get(k, ()):
-                        key = sieve.shape_key()
+                        key = (sieve.shape_key(), sieve.share)
                         if key not in shaped:
-                            shaped[key] = sieve.shaped(y).ravel()
+                            shaped[key] = sieve.shaped(y)[u[rows] < key[1]].ravel()
                         v = shaped[key]
                         if not new:
                             v = v[(v > lo) & (v < hi)]
@@ -321,13 +335,13 @@ def _count_quantiles(spark, s: Slice, sample: DataFrame, asked: list, edges: dic
     """Quantiles as of ``np.quantile`` over all values. Each pass narrows the floats that an order
     statistic may be; once few values are left between the bounds, they are collected."""
     tasks = max(spark.sparkContext.defaultParallelism, -(-sample.count() // MAX_FIT_SERIES))
-    dealt = sample.select("x").repartition(tasks).persist(StorageLevel.DISK_ONLY)
+    dealt = sample.select("x", "u").repartition(tasks).persist(StorageLevel.DISK_ONLY)
     try:
         first: dict = {}  # sieves of one shape share their order statistics
         for k in range(s.n_sums):
             for i, qs in asked:
                 near = [x for x in edges.get((k, i), ()) if np.isfinite(x)]
-                first.setdefault((k, s.sieves[i].shape_key(), qs), _Target(k, i, [], np.array([-np.inf, *near, np.inf])))
+                first.setdefault((k, s.sieves[i].shape_key(), s.sieves[i].share, qs), _Target(k, i, [], np.array([-np.inf, *near, np.inf])))
         names = {(t.k, t.sieve): key for key, t in first.items()}
         size: dict = {}
         value: dict = {}  # (k, sieve) -> {rank: value}
@@ -345,7 +359,7 @@ def _count_quantiles(spark, s: Slice, sample: DataFrame, asked: list, edges: dic
                     if not size[key] or places[0] == -1:
                         size[key] = 0
                         continue
-                    exact = [(size[key] - 1) * q for q in names[key][2]]
+                    exact = [(size[key] - 1) * q for q in names[key][3]]
                     t.ranks = sorted({min(int(x) + d, size[key] - 1) for x in exact for d in (0, 1)})
                 upto = t.below + np.cumsum(counts)
                 gaps: dict = {}
@@ -373,7 +387,7 @@ def _count_quantiles(spark, s: Slice, sample: DataFrame, asked: list, edges: dic
     out = {}
     for k in range(s.n_sums):
         for i, qs in asked:
-            t = first[k, s.sieves[i].shape_key(), qs]
+            t = first[k, s.sieves[i].shape_key(), s.sieves[i].share, qs]
             n, known = size[t.k, t.sieve], value[t.k, t.sieve]
             places = [(n - 1) * q for q in qs]
             out[k, i] = tuple(float(np.quantile([known[int(x)], known[min(int(x) + 1, n - 1)]], x - int(x))) for x in places) if n else (np.nan,) * len(qs)
@@ -391,13 +405,16 @@ class Model:
 
         def run(batches):
             for batch in batches:
-                out = np.zeros((batch.num_rows, width))
-                if batch.num_rows:
-                    for rows, cube in cubes(batch):
+                few = max(OUT_VALUES // max(width, 1), 1)
+                for at in range(0, batch.num_rows, few):  # a few series at a time: the features take more than the series
+                    part = batch.slice(at, few)
+                    part = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], names=part.schema.names)
+                    out = np.zeros((part.num_rows, width))
+                    for rows, cube in cubes(part):
                         with np.errstate(all="ignore"):
                             out[rows] = _finite(np.concatenate([s.features(cube) for s in slices], axis=1))
-                features = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width), pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(cols))), features], names=[*cols, "features"])
+                    features = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * width), pa.array(out.ravel()))
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(cols))), features], names=[*cols, "features"])
 
         fields = ", ".join(f"`{c}` {t}" for c, t in packed.select(*cols).dtypes)
         return packed.select(*cols, "x").mapInArrow(run, f"{fields}, features array<double>")
@@ -430,11 +447,24 @@ class Model:
         return {"prepared": prepared.df.drop("__raw"), "derived": derived.df.drop("__raw"), "features": Model(Pipeline((part,))).transform_long(s)}
 
 
-def fit_long(pipeline: Pipeline, s: Series) -> Model:
-    """Fit on all series by window expressions and exact percentiles, for pipelines of few sums."""
-    out = []
-    for part in pipeline.slices:
+def _sample_long(s: Series, size: int | float, seed: int) -> Series:
+    """The series that :func:`_sample` draws."""
+    if isinstance(size, float) and size >= 1:
+        return s
+    keys = s.df.select(s.key).distinct()
+    n = max(int(size * keys.count()), 1) if isinstance(size, float) else size
+    chosen = keys.orderBy(F.xxhash64(s.key, F.lit(seed)), s.key).limit(n)
+    return replace(s, df=s.df.join(chosen, s.key, "left_semi"))
+
+
+def fit_long(pipeline: Pipeline, s: Series, seed: int = 0) -> Model:
+    """Fit by window expressions on the same sample as :meth:`Pipeline.fit`, for pipelines of few sums."""
+    out, every = [], s
+    for k, part in enumerate(pipeline.slices):
         part.check()
+        s = every
+        if any(type(p).fit is not Preparateur.fit for p in part.preparateurs) or any(v.asked() for v in part.sieves):
+            s = _sample_long(every, part.fit_sample, seed + k)
         prepared, at = [], s.only()
         at = at.add({"__raw": F.col(at.dims[0])})
         for p in part.preparateurs:
@@ -443,7 +473,7 @@ def fit_long(pipeline: Pipeline, s: Series) -> Model:
             prepared.append(p)
         part = replace(part, preparateurs=tuple(prepared))
         derived = part.series(s)
-        found = quantiles_long(derived, list(part.sieves))
+        found = quantiles_long(sampled(derived, list(part.sieves), seed + k), list(part.sieves))
         out.append(replace(part, fitted={(derived.dims.index(d), i): v for (i, d), v in found.items()}))
     return Model(replace(pipeline, slices=tuple(out)))
 

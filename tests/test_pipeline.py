@@ -88,6 +88,32 @@ def test_quantiles_of_more_series_than_are_collected(spark, monkeypatch, few):
         np.testing.assert_allclose(got[key], values, rtol=1e-9, atol=1e-12)
 
 
+@pytest.mark.parametrize("size", [1, 0.4])
+def test_strategies_fit_on_the_same_sample(spark, size):
+    x = np.random.default_rng(15).standard_normal((4000, 1, 5))
+    p = pl.Pipeline((pl.Slice((P.QTC(0.8), P.INC()), (IteratedSums(("[1][1]", "[11]")),), (S.NPI(q=(0.5, 1)), S.PPV(0.4, sample_size=0.5), S.INT(S.MAX(q=(-1, 0.3, 1)))), size),))
+    s = long_series(spark, x)
+    np.testing.assert_allclose(table(pl.run(p, s, "window")), table(pl.run(p, s, "arrow")), rtol=1e-9, atol=1e-9)
+
+
+def test_quantiles_are_exact(spark):
+    from pyspark.sql import functions as F
+
+    from sumloom.functions import quantiles as Q
+
+    rng = np.random.default_rng(16)
+    a = np.concatenate([rng.standard_normal(30_000), np.full(9000, 0.25), 1e-12 * rng.standard_normal(9000), 1e200 * rng.standard_normal(50), [np.inf] * 40, [-np.inf] * 9])
+    b = np.concatenate([np.full(len(a) - 3, -7.5), [0.0, -0.0, 3.0]])
+    c = rng.standard_cauchy(len(a))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, c, strict=True)], "a double, b double, c double")
+    qs = (0.0, 0.01, 0.3, 0.5, 0.77, 0.998, 1.0)
+    with np.errstate(invalid="ignore"):
+        got = Q.quantiles(df, [F.col("a"), F.col("b"), F.col("c"), F.lit(None), F.when(F.col("b") > 0, float("nan")).otherwise(1.0)], [qs, qs, qs, (0.5,), (0.5,)])
+        for found, x in zip(got, (a, b, c), strict=False):
+            np.testing.assert_array_equal(found, np.quantile(x, qs))
+    assert np.isnan(got[3]).all() and np.isnan(got[4]).all()
+
+
 def test_plan_has_one_exchange(spark):
     p = pl.Pipeline((pl.Slice((P.INC(),), (IteratedSums(("[1][1][1]", "[11][1]"), True),), (S.END(), S.NPI())),))
     plan = pl.fit_long(p, long_series(spark, CUBE[:, :1])).transform_long(long_series(spark, CUBE[:, :1]))._jdf.queryExecution().executedPlan().toString()
