@@ -16,6 +16,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from sumloom.functions.paths import coquantile_array, coquantile_column, path_array, path_column
+from sumloom.functions.quantiles import quantiles
 from sumloom.series import Series
 
 
@@ -236,12 +237,27 @@ class FFN(Preparateur):
         return np.maximum(y, 0) if self.relu_out else y
 
 
+#: Different lengths for which a plan has cases of its own.
+MOST_LENGTHS = 1000
+
+
+def _lengths(s: Series) -> list[int]:
+    """The different lengths of the series; too many need the array form."""
+    found = [r[0] for r in s.df.groupBy(s.key).count().select("count").distinct().limit(MOST_LENGTHS + 1).collect()]
+    if len(found) > MOST_LENGTHS:
+        raise ValueError("so many lengths need the array form")
+    return sorted(found)
+
+
 @dataclass(frozen=True)
 class RIN(Preparateur):
-    """x_t - sum_l k_l x_{t-l}: increments with a random kernel (width l = width .. 1), normal, or uniform
-    with sum 1 (``force_sum_one``), or given (one row a dimension). The first ``width`` steps are 0, or
-    use zeros on the left (``adaptive_width``). With ``out_dim`` dimensions are dealt into that many
-    outputs, which add up their dimensions; ``groups`` fixes who goes where."""
+    """x_t - sum_l k_l x_{t-l}: increments with a random kernel (l = width .. 1). Kernels are normal and
+    centred (so width 1 leaves a series as it is); or, with ``force_sum_one``, uniform on (-1, 1) with
+    what is missing to the sum 1 spread over the weights in proportion to their distance from 1 in
+    size; or given, one row a dimension. A width of steps is cut to the length less 1; each
+    width that occurs has a kernel of its own. The first ``width`` steps are 0, or use zeros on the left
+    (``adaptive_width``). With ``out_dim`` dimensions are dealt into that many outputs, which add up
+    their dimensions; ``groups`` fixes who goes where."""
 
     width: int | float | Callable = 1
     adaptive_width: bool = False
@@ -250,44 +266,79 @@ class RIN(Preparateur):
     kernel: tuple | None = None
     groups: tuple[tuple[int, ...], ...] | None = None
     seed: int = 0
+    dims: int = 0
 
-    def fit_dims(self, dims, length: int | None = None):
-        rng = np.random.default_rng(self.seed)
-        out, kernel, groups = self, self.kernel, self.groups
-        if kernel is None and not (callable(self.width) or isinstance(self.width, float)):
-            kernel = self._draw(rng, dims, int(self.width))
+    def fit_dims(self, dims):
+        if self.out_dim > dims:
+            raise ValueError(f"{self.out_dim} outputs of {dims} dimensions")
+        groups = self.groups
         if groups is None:
-            n = dims if self.out_dim < 0 else self.out_dim
-            order = np.arange(dims) if self.out_dim < 0 else rng.permutation(dims)
+            n = dims if self.out_dim <= 0 else self.out_dim
+            order = np.arange(dims) if self.out_dim <= 0 else np.random.default_rng(self.seed).permutation(dims)
             groups = tuple(tuple(int(i) for i in order[j::n]) for j in range(n))
-        return replace(out, kernel=kernel, groups=groups)
-
-    def _draw(self, rng, dims, width):
-        k = rng.random((dims, width)) if self.force_sum_one else rng.standard_normal((dims, width))
-        return tuple(map(tuple, (k / k.sum(axis=1, keepdims=True) if self.force_sum_one else k).tolist()))
+        return replace(self, groups=groups, dims=dims)
 
     def fit(self, s):
         return self.fit_dims(len(s.dims))
 
-    def series(self, s):
-        if self.kernel is None:
-            raise ValueError("a width that follows the length needs the array form or a kernel")
-        w = len(self.kernel[0])
-
-        def one(i: int) -> Column:
-            x = F.col(s.dims[i])
-            return x - sum((F.coalesce(F.lag(x, w - l).over(s.steps), F.lit(0.0)) * F.lit(float(k)) for l, k in enumerate(self.kernel[i])), F.lit(0.0))  # noqa: E741
+    def kernel_of(self, width: int) -> np.ndarray:
+        """[dimension, width]"""
+        if self.kernel is not None:
+            return np.asarray(self.kernel, dtype=float)
+        rng, shape = np.random.default_rng([self.seed, width]), (self.dims, width)
+        if not width:
+            return np.zeros(shape)
+        if not self.force_sum_one:
+            k = rng.standard_normal(shape)
+            return k - k.mean(axis=1, keepdims=True)
+        while True:
+            k = rng.uniform(-1.0, 1.0, shape)
+            room = 1.0 - np.abs(k)
+            total = room.sum(axis=1, keepdims=True)
+            if (total >= 1e-5).all():
+                return k + room * (1.0 - k.sum(axis=1, keepdims=True)) / total
+
+    def width_of(self, length: int) -> int:
+        if self.kernel is not None:
+            return len(self.kernel[0])
+        if callable(self.width) or isinstance(self.width, float):
+            return max(_steps(self.width, length), 0)
+        return max(min(int(self.width), length - 1), 0)
 
-        s = s.add({f"__r{i}": one(i) for i in range(len(s.dims))})
-        n = len(s.dims)
-        out = {f"x{j + 1}": sum((F.col(f"__r{i}") for i in g[1:]), F.col(f"__r{g[0]}")) for j, g in enumerate(self.groups)}
-        s = s.swap({k: v if self.adaptive_width else F.when(F.col(s.t) >= w, v).otherwise(0.0) for k, v in out.items()})
-        return replace(s, df=s.df.drop(*[f"__r{i}" for i in range(n)]))
+    def series(self, s):
+        if self.kernel is not None:
+            cases = [len(self.kernel[0])]
+        elif callable(self.width) or isinstance(self.width, float):
+            widths: dict[int, list[int]] = {}
+            for length in _lengths(s):
+                widths.setdefault(self.width_of(length), []).append(length)
+            cases = list(widths)
+        else:  # shorter series by their lengths, all others by the width itself
+            cases = list(range(int(self.width) + 1))
+            widths = {w: [w + 1] for w in cases[:-1]}
+        if len(cases) > 1:
+            s = s.add({"__n": s.length})
+
+        def one(i: int, kernel: np.ndarray) -> Column:
+            x, w = F.col(s.dims[i]), kernel.shape[1]
+            return x - sum((F.coalesce(F.lag(x, w - l).over(s.steps), F.lit(0.0)) * F.lit(float(k)) for l, k in enumerate(kernel[i])), F.lit(0.0))  # noqa: E741
+
+        made = {}
+        for j, group in enumerate(self.groups):
+            value = None
+            for w in reversed(cases):
+                kernel = self.kernel_of(w)
+                y = sum((one(i, kernel) for i in group[1:]), one(group[0], kernel))
+                y = y if self.adaptive_width else F.when(F.col(s.t) >= w, y).otherwise(0.0)
+                value = y if value is None else F.when(F.col("__n").isin(widths[w]), y).otherwise(value)
+            made[f"x{j + 1}"] = value
+        s = s.swap(made)
+        return replace(s, df=s.df.drop("__n"))
 
     def arrays(self, x, raw=None):
-        kernel = self.kernel or self._draw(np.random.default_rng(self.seed), x.shape[1], max(_steps(self.width, x.shape[2]), 1))
-        k, length = np.asarray(kernel), x.shape[2]
-        w, y = k.shape[1], x.copy()
+        length = x.shape[2]
+        k, y = self.kernel_of(self.width_of(length)), x.copy()
+        w = k.shape[1]
         for l in range(w):  # noqa: E741
             back = w - l
             y[:, :, back:] -= k[:, l][None, :, None] * x[:, :, : max(length - back, 0)]
@@ -299,21 +350,27 @@ class RIN(Preparateur):
 
 @dataclass(frozen=True)
 class RDW(Preparateur):
-    """x ** weight of its dimension; weights add up to 1: Dirichlet with parameters in proportion to the
-    largest mean |x| of any step, or uniform draws, or given."""
+    """x ** weight of its dimension; weights add up to 1: Dirichlet, with the largest mean |x| of any step
+    over the largest one of all dimensions as parameters; or uniform draws, or given."""
 
     dist: str = "dirichlet"
     seed: int = 0
     weights: tuple[float, ...] | None = None
 
+    @staticmethod
+    def concentrations(top: np.ndarray) -> np.ndarray:
+        """Parameters from the largest mean of each dimension; where one is 0, all get a little more."""
+        top = np.asarray(top, dtype=float)
+        out = top / top.max() if top.max() > 0 else top
+        return out + 1e-5 if (out == 0).any() else out
+
     def fit(self, s):
         if self.weights is not None:
             return self
         rng = np.random.default_rng(self.seed)
         if self.dist == "dirichlet":
             by_step = s.df.groupBy(s.t).agg(*[F.avg(F.abs(F.col(d))).alias(d) for d in s.dims])
-            top = np.array(by_step.agg(*[F.max(d) for d in s.dims]).first(), dtype=float)
-            w = rng.dirichlet(np.maximum(top, 1e-12) / max(top.sum(), 1e-12))
+            w = rng.dirichlet(self.concentrations(by_step.agg(*[F.max(d) for d in s.dims]).first()))
         else:
             w = rng.random(len(s.dims))
         return replace(self, weights=tuple((w / w.sum()).tolist()))
@@ -328,9 +385,10 @@ class RDW(Preparateur):
 
 @dataclass(frozen=True)
 class JLD(Preparateur):
-    """Random projection of the dimensions (Johnson-Lindenstrauss). ``dim``: their new number, or the
-    distortion f, for int(24 ln d / (3 f^2 - 2 f^3)) + 1 of them. ``distribute``: each input goes into
-    one output only. ``bias``: a random constant for each output. ``projection``: (matrix, bias)."""
+    """Random projection of the dimensions (Johnson-Lindenstrauss) with standard normal weights.
+    ``dim``: their new number, or the distortion f in (0, 1), for int(24 ln d / (3 f^2 - 2 f^3)) + 1 of
+    them. ``distribute``: each input goes into one output only, of which there may be no more than
+    inputs. ``bias``: a random constant for each output. ``projection``: (matrix, bias)."""
 
     dim: int | float = 0.99
     distribute: bool = False
@@ -338,14 +396,18 @@ class JLD(Preparateur):
     seed: int = 0
     projection: tuple | None = None
 
+    def __post_init__(self) -> None:
+        if isinstance(self.dim, float) and not 0 < self.dim < 1:
+            raise ValueError("a distortion lies between 0 and 1")
+
     def fit_dims(self, dims):
         if self.projection is not None:
             return self
         rng, f = np.random.default_rng(self.seed), self.dim
         n = f if isinstance(f, int) else int(24 * math.log(dims) / (3 * f * f - 2 * f**3)) + 1
-        if self.distribute:
-            n = min(n, dims)
-        m = rng.standard_normal((n, dims)) / math.sqrt(n)
+        if self.distribute and n > dims:
+            raise ValueError(f"{n} outputs of {dims} dimensions")
+        m = rng.standard_normal((n, dims))
         if self.distribute:
             home = rng.permutation(np.arange(dims) % n)
             m = np.where(home[None, :] == np.arange(n)[:, None], m, 0.0)
@@ -452,7 +514,7 @@ class QTC(Preparateur):
 
     def fit(self, s):
         values = s.df.select(F.explode(F.array(*s.dims)).alias("v"))
-        return replace(self, fitted=float(values.agg(F.percentile("v", F.lit(self.q))).first()[0]))
+        return replace(self, fitted=quantiles(values, [F.col("v")], [(self.q,)])[0][0])
 
     def series(self, s):
         put = self.fitted if self.bound is None else self.bound
@@ -483,27 +545,28 @@ class FUN(Preparateur):
 
 @dataclass(frozen=True)
 class DIL(Preparateur):
-    """Zeroes random strips: int(clusters * L) of them, or a random number below L / 10. All series of one
-    length lose the same strips."""
+    """Zeroes random strips: int(clusters * L) of them, or a random number below L / 10 (at least one). A
+    strip has 1 step or more, and ends where the next one starts at the latest. All series of one length
+    lose the same strips."""
 
     clusters: float | None = None
     seed: int = 0
 
     def strips(self, length: int) -> list[tuple[int, int]]:
-        rng = np.random.default_rng([self.seed, length])
-        n = int(self.clusters * length) if self.clusters else int(rng.integers(1, max(length // 10, 2)))
-        out = []
-        for start in np.sort(rng.choice(length, min(n, length), replace=False)):
-            out.append((int(start), int(min(length, start + rng.integers(1, max(length // 10, 2))))))
-        return out
+        rng, room = np.random.default_rng([self.seed, length]), length // 10
+        if self.clusters is not None:
+            n = min(int(self.clusters * length), length)
+        else:
+            n = min(int(rng.integers(1, room)) if room > 1 else 1, length)
+        starts = np.sort(rng.choice(length, n, replace=False))
+        gaps = np.diff(np.append(starts, length))
+        return [(int(a), int(a + rng.integers(1, gap + 1))) for a, gap in zip(starts, gaps, strict=True)]
 
     def series(self, s):
-        lengths = [r[0] for r in s.df.groupBy(s.key).count().select("count").distinct().collect()]
-        if len(lengths) > 1000:
-            raise ValueError("so many lengths need the array form")
+        lengths = _lengths(s)
         t, n = F.col(s.t), s.length
         gone = F.lit(False)
-        for length in sorted(lengths):
+        for length in lengths:
             for a, b in self.strips(length):
                 gone = gone | ((F.col("__n") == length) & (t >= a) & (t < b))
         s = s.add({"__n": n})

@@ -88,10 +88,18 @@ def load(spark: SparkSession, folder: str, name: str, univariate: bool = True, k
     return pair
 
 
-def load_all(spark: SparkSession, folder: str, names: list[str], **kw):
-    """(name, train, test) of several collections, by name."""
-    for name in sorted(names):
-        yield name, *load(spark, folder, name, **kw)
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, in whatever store the path is."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(x.getPath().getName() for x in target.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(target) if x.isDirectory())
+
+
+def load_all(spark: SparkSession, folder: str, names: list[str] | None = None, **kw):
+    """(name, train, test) of the collections in a folder, or of some of them, by name."""
+    for name in _folders(spark, folder):
+        if names is None or name in names:
+            yield name, *load(spark, folder, name, **kw)
 
 
 def write_results(df: DataFrame, path: str) -> None:

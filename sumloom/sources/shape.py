@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -52,40 +53,57 @@ def upsample(df: DataFrame) -> DataFrame:
     return _each(df, lambda d: F.when(F.size(d) > 0, between(d)).otherwise(d))
 
 
+def _repeats(length: int, extra: int, rng: np.random.Generator) -> np.ndarray:
+    """How often each step occurs after ``extra`` steps of stuttering: runs of random length, each at a
+    random place after the one before; from the last step on it is what is left that is added."""
+    times, added, last = np.ones(length, dtype=np.int64), 0, 0
+    while added < extra:
+        run = int(rng.integers(1, extra - added + 1))
+        place = int(rng.integers(last + 1, length + extra))  # in the series as it is by now
+        step = place - added
+        if step >= length - 1:
+            times[-1] += extra - added
+            break
+        times[step] += run
+        added += run
+        last = place + run
+    return times
+
+
 def implant_stuttering(df: DataFrame, stutter_length: float = 0.1, seed: int = 0) -> DataFrame:
-    """Makes each series longer by repeating values at random steps; all dimensions stop together. A
-    series' draws follow from series_id and the seed."""
+    """Makes each series int(stutter_length * L) steps longer by repeating values at random steps, each
+    dimension by itself. A series' draws follow from series_id and the seed."""
 
     def run(batches):
         for batch in batches:
             out = []
             i = batch.schema.get_field_index("x")
             for key, x in zip(batch.column(batch.schema.get_field_index("series_id")).to_pylist(), batch.column(i).to_pylist(), strict=True):
-                n = len(x[0]) if x else 0
-                extra = int(math.ceil(stutter_length * n)) if n else 0
                 rng = np.random.default_rng([seed, abs(int(key))])
-                repeat = 1 + np.bincount(rng.integers(0, n, extra), minlength=n) if n else np.empty(0, int)
-                out.append([np.repeat(d, repeat).tolist() for d in x])
+                out.append([np.repeat(d, _repeats(len(d), int(stutter_length * len(d)), rng)).tolist() if d else d for d in x])
             yield batch.set_column(i, batch.schema.field(i), pa.array(out, batch.schema.field(i).type))
 
     return df.mapInArrow(run, df.schema)
 
 
-def multisine(spark: SparkSession, size: int = 100, length: int = 100, n_classes: int = 2, used_sines: int = 3, coefficients: list | None = None, noise: float = 0.5, seed: int = 0) -> DataFrame:
-    """series_id, label, x: for each class a sum of sines a sin(b t / L + c), plus normal noise.
-    ``coefficients``: for each class a list of (a, b, c); drawn from the seed otherwise, so that
-    collections of one seed share their classes whatever their size."""
-    rng = np.random.default_rng(seed)
+def multisine(
+    spark: SparkSession, size: int = 100, length: int = 100, n_classes: int = 2, used_sines: int = 3, coefficients: list | None = None, noise: float | Callable[[Column], Column] = 0.5, seed: int = 0
+) -> DataFrame:
+    """series_id, label, x: for each class a sum of sines a sin(b x + c) at ``length`` points x from 0 to
+    2 pi, plus noise. ``coefficients``: for each class a list of (a, b, c), where b may be a function of
+    the column x; drawn evenly from [0, 2) by the seed otherwise, so that collections of one seed share
+    their classes whatever their size. ``noise``: a standard deviation, or a function of a column that is
+    uniform on (0, 1), independent for each point."""
     if coefficients is None:
-        coefficients = [[(float(rng.uniform(0.5, 2)), float(rng.uniform(1, 30)), float(rng.uniform(0, 2 * math.pi))) for _ in range(used_sines)] for _ in range(n_classes)]
+        coefficients = (2 * np.random.default_rng(seed).random((n_classes, used_sines, 3))).tolist()
     rows = spark.range(size).select(F.col("id").alias("series_id"), (F.col("id") % n_classes).cast("int").alias("label"))
     rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
-    at = F.col("t") / float(length)
-    value = F.lit(0.0)
+    rows = rows.withColumn("at", F.col("t") * F.lit(2 * math.pi / max(length - 1, 1)))
+    at, value = F.col("at"), F.lit(0.0)
     for k, sines in enumerate(coefficients):
-        value = F.when(F.col("label") == k, sum((F.lit(a) * F.sin(at * b + c) for a, b, c in sines), F.lit(0.0))).otherwise(value)
-    # Box-Muller on hashes: the noise of a point depends on nothing but its place and the seed.
+        value = F.when(F.col("label") == k, sum((F.lit(float(a)) * F.sin(at * (b(at) if callable(b) else F.lit(float(b))) + F.lit(float(c))) for a, b, c in sines), F.lit(0.0))).otherwise(value)
+    # Hashes: the noise of a point depends on nothing but its place and the seed; normal by Box-Muller.
     u = [(F.pmod(F.xxhash64("series_id", "t", F.lit(seed), F.lit(i)), F.lit(1 << 52)) + 0.5) / float(1 << 52) for i in (1, 2)]
-    rows = rows.withColumn("v", value + noise * F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1]))
+    rows = rows.withColumn("v", value + (noise(u[0]) if callable(noise) else noise * F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])))
     packed = rows.groupBy("series_id", "label").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("s"))
     return packed.select("series_id", "label", F.array(F.transform("s", lambda r: r["v"])).alias("x"))

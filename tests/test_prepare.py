@@ -14,6 +14,7 @@ def both(spark, p, cube):
     return arrays
 
 
+# Results for the shared cube and for a rising one.
 GOLDEN = [
     (P.INC(), CUBE, [[[0, 4.8, -0.8, 5, -8], [0, -1, -1, 0, -7]], [[0, 3, -6, 4, -6], [0, 4, -3, 3.5, -7.5]]]),
     (P.INC(zero_padding=False), CUBE, [[[-4, 4.8, -0.8, 5, -8], [2, -1, -1, 0, -7]], [[5, 3, -6, 4, -6], [-5, 4, -3, 3.5, -7.5]]]),
@@ -75,3 +76,54 @@ def test_masks():
     out = P.PDD(0.9, 0.5).arrays(x)
     assert (out == 0).sum() == 45 and out[0, 0, 0] == 0 and out[0, 0, -1] == 0
     assert (P.DIL(0.1, seed=4).arrays(x) == 0).any()
+
+
+def test_random_laws():
+    """Moments and bounds of what is drawn."""
+    for width in (1, 4):
+        k = P.RIN(width, seed=5).fit_dims(500).kernel_of(width)
+        np.testing.assert_allclose(k.mean(axis=1), 0, atol=1e-12)
+        one = P.RIN(width, True, force_sum_one=True, seed=5).fit_dims(500).kernel_of(width)
+        np.testing.assert_allclose(one.sum(axis=1), 1, atol=1e-9)
+    assert abs(k.std() - np.sqrt(3 / 4)) < 0.05 and (one < 0).any()
+    x = np.random.default_rng(1).standard_normal((2, 3, 6))
+    np.testing.assert_allclose(P.RIN(1, True, seed=2).fit_dims(3).arrays(x), x)  # one centred weight is 0
+    assert (P.RIN(9, seed=1).fit_dims(3).arrays(x)[:, :, :5] == 0).all() and P.RIN(9).fit_dims(3).width_of(6) == 5
+    with pytest.raises(ValueError):
+        P.RIN(out_dim=4).fit_dims(3)
+
+    np.testing.assert_allclose(P.RDW.concentrations([4.0, 1.0, 2.0]), [1, 0.25, 0.5])
+    np.testing.assert_allclose(P.RDW.concentrations([4.0, 0.0]), [1 + 1e-5, 1e-5])
+
+    m, bias = (np.array(a) for a in P.JLD(25, bias=True, seed=1).fit_dims(100).projection)
+    assert m.shape == (25, 100) and abs(m.std() - 1) < 0.05 and abs(m.mean()) < 0.05 and bias.any()
+    m = np.array(P.JLD(25, True, seed=1).fit_dims(100).projection[0])
+    assert ((m != 0).sum(axis=0) == 1).all() and ((m != 0).sum(axis=1) == 4).all()
+    for bad in (lambda: P.JLD(26, True).fit_dims(25), lambda: P.JLD(1.5)):
+        with pytest.raises(ValueError):
+            bad()
+    assert P.JLD(0.7).fit_dims(100).arrays(np.zeros((46, 100, 189))).shape == (46, int(24 * np.log(100) / (3 * 0.49 - 2 * 0.343)) + 1, 189)
+
+    for length, n in ((100, 20), (7, 1)):
+        strips = [s for seed in range(40) for s in [P.DIL(0.2, seed=seed).strips(length)]]
+        assert {len(s) for s in strips} == {n}
+        assert all(a < b <= nxt for s in strips for (a, b), (nxt, _) in zip(s, [*s[1:], (length, None)], strict=True))
+        assert any(b == nxt for s in strips for (_, b), (nxt, _) in zip(s, [*s[1:], (length, None)], strict=True))
+    assert {len(P.DIL(seed=i).strips(100)) for i in range(200)} == set(range(1, 10)) and len(P.DIL().strips(12)) == 1 and len(P.DIL(1.0).strips(9)) == 9
+
+
+@pytest.mark.parametrize("p", [P.RIN(0.3, seed=1), P.RIN(lambda n: n // 4, True, 1, seed=1), P.RIN(4, seed=2), P.RIN(3, force_sum_one=True, seed=2), P.DIL(0.4, seed=3)], ids=["share", "function", "cut", "sum one", "strips"])
+def test_widths_by_length(spark, p):
+    from sumloom.series import Series
+
+    rng = np.random.default_rng(3)
+    cubes = {i: rng.standard_normal((1, 2, n)) for i, n in enumerate((1, 2, 4, 12, 12, 9))}
+    rows = [(i, t, *map(float, x[0, :, t])) for i, x in cubes.items() for t in range(x.shape[2])]
+    s = Series(spark.createDataFrame(rows, "series_id long, t int, x1 double, x2 double"), ("x1", "x2"))
+    p = p.fit(s)
+    got = p.series(s)
+    found = {}
+    for r in got.df.orderBy("series_id", "t").collect():
+        found.setdefault(r.series_id, []).append([r[d] for d in got.dims])
+    for i, x in cubes.items():
+        np.testing.assert_allclose(np.array(found[i]).T, p.arrays(x)[0], rtol=1e-9, atol=1e-12)

@@ -22,7 +22,13 @@ def test_text_and_cache(spark, tmp_path):
     assert values(train) == [[[0.5, 0.5, 2.0]], [[1.0, 2.0, 3.0]]] and [r.label for r in train.orderBy("series_id").collect()] == [1, 2]
     assert values(test) == [[[10.0, -3.0, -3.0]]]
     (tmp_path / "Toy" / "Toy_TRAIN.txt").unlink()
-    assert [n for n, *_ in files.load_all(spark, str(tmp_path), ["Toy"], cache=str(tmp_path / "cache"))] == ["Toy"]
+    (tmp_path / "other").mkdir()
+    assert [n for n, *_ in files.load_all(spark, str(tmp_path), ["Toy", "none"], cache=str(tmp_path / "cache"))] == ["Toy"]
+    assert files._folders(spark, str(tmp_path)) == ["Toy", "cache", "other"]
+    (tmp_path / "all" / "Toy").mkdir(parents=True)
+    for part in ("TRAIN", "TEST"):
+        (tmp_path / "all" / "Toy" / f"Toy_{part}.txt").write_text("1,2,3\n")
+    assert [(n, a.count()) for n, a, _ in files.load_all(spark, str(tmp_path / "all"))] == [("Toy", 1)]
     assert files.load(spark, str(tmp_path), "Toy", cache=str(tmp_path / "cache"))[0].count() == 2
 
 
@@ -48,8 +54,11 @@ def test_shapes(spark):
     assert values(shape.lengthen(df, 0.4)) == [[[1, 2, 4, 8, 16, 16, 16]]]
     assert values(shape.downsample(df, 0.5)) == [[[1, 4, 16]]]
     assert values(shape.upsample(df)) == [[[1, 1.5, 2, 3, 4, 6, 8, 12, 16]]]
-    two = values(shape.implant_stuttering(packed_rows(spark, np.array([[[1.0, 2, 4], [5, 6, 7]]])), 1.0, 2))[0]
-    assert len(two[0]) == 6 and [b - 4 if b < 7 else 4 for b in two[1]] == [{1: 1, 2: 2, 4: 4}[a] if a < 4 else 4 for a in two[0]]
+    base = np.arange(2.0 * 24).reshape(1, 2, 24)
+    stuttered = [values(shape.implant_stuttering(packed_rows(spark, base), 0.3, seed))[0] for seed in range(12)]
+    assert all(len(d) == 24 + 7 and sorted(set(d)) == base[0, j].tolist() and d == sorted(d) for two in stuttered for j, d in enumerate(two))
+    assert any([v for v in two[0] if two[0].count(v) > 1] != [v - 24 for v in two[1] if two[1].count(v) > 1] for two in stuttered)  # dimensions by themselves
+    assert values(shape.implant_stuttering(packed_rows(spark, base), 0.04, 1))[0] == base[0].tolist()  # int(0.96) steps
     nan = float("nan")
     holes = packed_rows(spark, np.array([[[nan, 2, nan, 3, nan]]]))
     assert values(shape.fill(holes)) == [[[0, 2, 2, 3, 3]]] and values(shape.fill(holes, 7)) == [[[7, 2, 7, 3, 7]]]
@@ -58,16 +67,24 @@ def test_shapes(spark):
 
 
 def test_classifier_tells_sines_apart(spark):
-    train, test = (shape.multisine(spark, n, 40, 2, noise=0.3, seed=3) for n in (60, 40))
+    train, test = (shape.multisine(spark, n, 40, 2, noise=0.3, seed=3, coefficients=[[(1.0, 3.0, 0.2), (0.5, 7.0, 1.0)], [(1.0, 5.0, 0.1), (0.8, lambda x: x / 2, 0.0)]]) for n in (60, 40))
     p = pl.Pipeline((pl.Slice((P.NEW(P.INC()),), (IteratedSums(("[1]", "[2][2]", "[1][2]"), True),), (S.NPI(), S.MPI(), S.END())),))
     assert evaluate.judge(p, train, test)["accuracy"] > 0.9
     worse = pl.Pipeline((pl.Slice((P.FUN(of_cube=lambda x: x * 0),), (IteratedSums(("[1]",)),), (S.MAX(),)),))
-    assert evaluate.choose([worse, p], train) is p
+    assert evaluate.choose([worse, p], train) is p and evaluate.choose([(worse, p), (p, worse)], train) is worse
+
+    class Constant:
+        @staticmethod
+        def fit(rows):
+            return type("Model", (), {"accuracy": staticmethod(lambda rows: 0.25)})
+
+    assert evaluate.judge(p, train, test, classifier=Constant)["accuracy"] == 0.25
     one = train.where("label = 0").union(train.where("label = 1").limit(1))
     assert evaluate.choose([worse, p], one) is worse
     assert [r["dataset"] for r in evaluate.judge_all(p, [("toy", train, test)])] == ["toy"]
     model = p.fit(train)
     assert len(evaluate.feature_table(model, train, [0, 3]).columns) == 4
+    assert evaluate.scatter(model.transform(train, ["label"]), 0, 2).columns == ["label", "x", "y"]
     assert evaluate.histogram(model.transform(train, ["label"]), 0, 5).agg({"n": "sum"}).first()[0] == 60
 
 
@@ -88,3 +105,34 @@ def test_ridge_is_exact(spark):
         np.testing.assert_allclose(e, total / 30, rtol=1e-6)
     with pytest.raises(ValueError):
         evaluate.Ridge.fit(rows.where("label > 9"))
+
+
+def test_ridge_of_many_features(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    x, y = rng.standard_normal((25, 40)), rng.integers(0, 3, 25)
+    x[:, 7] = 2.0
+    rows = spark.createDataFrame([(int(c), r.tolist()) for c, r in zip(y, x, strict=True)], "label int, features array<double>").repartition(3).persist()
+    want = evaluate.Ridge.fit(rows)
+    monkeypatch.setattr(evaluate, "MAX_SIDE", 30)
+    monkeypatch.setattr(evaluate, "BLOCK_FEATURES", 16)
+    got = evaluate.Ridge.fit(rows)
+    assert got.alpha == want.alpha
+    np.testing.assert_allclose(got.loo_error, want.loo_error, rtol=1e-6)
+    np.testing.assert_allclose(got.weights, want.weights, atol=1e-8)
+    assert got.accuracy(rows) == want.accuracy(rows)
+    assert [v for v, _ in evaluate.sweep(rows, rows, (1.0, 10.0))] == [1.0, 10.0]
+    monkeypatch.setattr(evaluate, "MAX_SIDE", 20)
+    with pytest.raises(ValueError):
+        evaluate.Ridge.fit(rows)
+
+
+def test_multisine_law(spark):
+    rows = shape.multisine(spark, 300, 30, 3, noise=0.0, seed=4).collect()
+    x, two_pi = {r.label: r.x[0] for r in rows}, np.linspace(0, 2 * np.pi, 30)
+    c = 2 * np.random.default_rng(4).random((3, 3, 3))
+    for k in range(3):
+        np.testing.assert_allclose(x[k], sum(a * np.sin(b * two_pi + p) for a, b, p in c[k]), atol=1e-9)
+    noisy = np.array([r.x[0] for r in shape.multisine(spark, 300, 30, 1, coefficients=[[]], seed=4).collect()])
+    assert abs(noisy.std() - 0.5) < 0.02 and abs(noisy.mean()) < 0.02
+    flat = shape.multisine(spark, 2, 5, 1, coefficients=[[]], noise=lambda u: u * 0 + 3).collect()
+    assert all(r.x == [[3.0] * 5] for r in flat)
