@@ -57,6 +57,11 @@ class Weighting:
     total: bool = False
     scale: float = 50.0
 
+    @property
+    def rising(self) -> bool:
+        """Is g known to rise from 0 to ``scale``?"""
+        return False
+
     def _raw_column(self, s: Series) -> tuple[Series, Column]:
         raise NotImplementedError
 
@@ -82,6 +87,10 @@ class Indices(Weighting):
     transform: tuple[Callable, Callable] | None = None
     relative: bool = True
 
+    @property
+    def rising(self):
+        return self.transform is None
+
     def _raw_column(self, s):
         g = F.col(s.t) / (s.length if self.relative else F.lit(1))
         return s, self.transform[0](g) if self.transform else g
@@ -101,6 +110,10 @@ class Path(Weighting):
     relative: bool = False
     transform: tuple[Callable, Callable] | None = None
 
+    @property
+    def rising(self):
+        return self.transform is None
+
     def _raw_column(self, s):
         s = path_column(s, self.norm, s.dims[0] if self.on_prepared or "__raw" not in s.df.columns else "__raw")
         g = F.col(f"__path_{self.norm}")
@@ -133,6 +146,10 @@ class Plateaus(Weighting):
     n: int = 2
     reverse: bool = False
 
+    @property
+    def rising(self):
+        return not self.reverse
+
     def _raw_column(self, s):
         width = F.greatest(F.floor(s.length / self.n), F.lit(1))
         g = F.least(F.floor(F.col(s.t) / width), F.lit(self.n - 1)) / max(self.n - 1, 1)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Semiring:
     """``running``: the semiring's sum over a window of a column; ``accumulate``: the same along the
-    last axis of an array; ``times``: the product of two columns or arrays; ``zero``: neutral in sums.
+    last axis of an array; ``times``: the product of two columns or arrays; ``zero``: neutral in sums;
+    ``plus``: the sum of two columns, of two arrays (weights of a wide range and blocked sums need it).
 
     A semiring of one's own needs these and works wherever Reals, Arctic and Bayesian do.
     """
@@ -29,6 +30,7 @@ class Semiring:
     zero: float
     strict: bool
     additive: bool
+    plus: tuple[Callable, Callable] | None = None
 
     def before_array(self, p: np.ndarray) -> np.ndarray:
         """What a next letter multiplies: the running sum up to the step, or the step before."""
@@ -41,14 +43,14 @@ class Semiring:
 
 def Reals() -> Semiring:  # noqa: N802
     """(+, *), strict."""
-    return Semiring("Reals", F.sum, lambda z: np.cumsum(z, axis=1), lambda a, b: a * b, 0.0, True, False)
+    return Semiring("Reals", F.sum, lambda z: np.cumsum(z, axis=1), lambda a, b: a * b, 0.0, True, False, (lambda a, b: a + b, np.add))
 
 
 def Arctic() -> Semiring:  # noqa: N802
     """(max, +), weak."""
-    return Semiring("Arctic", F.max, lambda z: np.maximum.accumulate(z, axis=1), lambda a, b: a + b, float("-inf"), False, True)
+    return Semiring("Arctic", F.max, lambda z: np.maximum.accumulate(z, axis=1), lambda a, b: a + b, float("-inf"), False, True, (F.greatest, np.maximum))
 
 
 def Bayesian() -> Semiring:  # noqa: N802
     """(max, *), weak; meant for values in [0, 1]."""
-    return Semiring("Bayesian", F.max, lambda z: np.maximum.accumulate(z, axis=1), lambda a, b: a * b, float("-inf"), False, False)
+    return Semiring("Bayesian", F.max, lambda z: np.maximum.accumulate(z, axis=1), lambda a, b: a * b, float("-inf"), False, False, (F.greatest, np.maximum))

@@ -5,8 +5,11 @@ with every sum of a level in the same Window node; all levels use the partitioni
 depth adds no exchange. *Array*: on cubes [series, dimension, step] inside an Arrow batch, for tries
 of hundreds of nodes that would make plans too wide.
 
-With a weighting g and word weights a_j, neighbours i < j carry exp(a_j (g(i) - g(j))). Both forms
-sum exp(a g) z and divide it out again, which needs a * (largest g) below about 700.
+With a weighting g and word weights a_j, neighbours i < j carry exp(a_j (g(i) - g(j))). Where the
+range of a g is below ``SPAN``, both forms sum exp(a g) z and divide it out again. Beyond that the
+array form folds step by step, S(i) = S(i - 1) exp(a (g(i - 1) - g(i))) + z(i), and the window form sums
+in strips of a g of width ``SPAN / 2``, with the sums of the two strips before: what lies further back
+counts less than exp(-SPAN / 2) of itself. The latter needs a g that rises (:attr:`Weighting.rising`).
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from dataclasses import dataclass, replace
 from math import comb
 
 import numpy as np
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from sumloom.functions.paths import Weighting
@@ -23,20 +27,30 @@ from sumloom.functions.semiring import Reals, Semiring
 from sumloom.functions.words import Trie, Word, array_value, column_value, word
 from sumloom.series import Series
 
+#: Largest range of a g that exp() is formed over; doubles end at about exp(709).
+SPAN = 600.0
+
 
 @dataclass(frozen=True)
 class IteratedSums:
     """``prefixes``: a sum for every distinct prefix of the words (EXTENDED), else for every word
-    (SINGLE). ``paths``: the Arctic sums with the positions that reach them; see :meth:`argmax`."""
+    (SINGLE). ``positions``: for semirings of maxima, for each prefix of length k of each word its sums
+    and then k dimensions with the positions i_1 .. i_k that reach them; see :meth:`argmax`."""
 
     words: tuple[Word, ...]
     prefixes: bool = False
     semiring: Semiring = None
     weighting: Weighting | None = None
+    positions: bool = False
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "words", tuple(word(w) if isinstance(w, str) else w for w in self.words))
         object.__setattr__(self, "semiring", self.semiring or Reals())
+        if self.positions:
+            if not self.prefixes or self.semiring.strict:
+                raise ValueError("positions are traced for all prefixes, and for maxima only")
+            if self.weighting is not None and not self.semiring.additive:
+                raise ValueError("positions under weights need a semiring that multiplies by adding")
 
     @property
     def trie(self) -> Trie:
@@ -44,23 +58,50 @@ class IteratedSums:
 
     @property
     def labels(self) -> list[str]:
+        if self.positions:
+            return [f"{w.prefix(k)}{at}" for w in self.words for k in range(1, len(w) + 1) for at in ("", *(f" at {j}" for j in range(1, k + 1)))]
         return list(self.trie.labels)
 
     def __len__(self) -> int:
+        if self.positions:
+            return sum(len(w) * (len(w) + 3) // 2 for w in self.words)
         return len(self.trie.emit)
 
+    def _wide(self, alpha: float) -> bool:
+        """Does the range of alpha g pass what exp() can hold (as far as the parameters tell)?"""
+        return self.weighting.rising and self.semiring.plus is not None and not self.semiring.additive and alpha * self.weighting.scale > SPAN
+
     # ------------------------------------------------------------------ window form
 
     def series(self, s: Series) -> Series:
         """Long series with one dimension a sum, s1, s2, ...; columns besides the dimensions stay."""
+        if self.positions:
+            return self.argmax(s)
         ring, trie, g = self.semiring, self.trie, None
         s = replace(s, df=s.df)
         if self.weighting is not None:
             s, g = self.weighting.column(s), F.col("__g")
         dims = [F.col(d) for d in s.dims]
-        swing = {n: F.exp(F.lit(n.alpha) * g) if not ring.additive else F.lit(n.alpha) * g for n in set(trie.nodes)} if g is not None else {}
+        strips = sorted({n.alpha for n in trie.nodes if g is not None and self._wide(n.alpha)})
+        place = {a: f"__strip{i}" for i, a in enumerate(strips)}
+        # Alpha g from the beginning of its strip.
+        s = s.add({c: F.floor(F.lit(a / (SPAN / 2)) * g).cast("long") for a, c in place.items()}) if strips else s
+        rise = lambda a: F.lit(a) * g - (F.col(place[a]) * F.lit(SPAN / 2) if a in place else F.lit(0.0))
+        swing = {n: F.exp(rise(n.alpha)) if not ring.additive else F.lit(n.alpha) * g for n in set(trie.nodes)} if g is not None else {}
         undo = (lambda x, w: x - w) if ring.additive else (lambda x, w: x / w)
-        frame = s.upto if not ring.strict else s.before
+
+        def running(i: int, upto: bool) -> Column:
+            """The sum of __w{i} up to the step, or to the one before, relative to the strip of the step."""
+            a, c = trie.nodes[i].alpha, F.col(f"__w{i}")
+            if g is None or a not in place:
+                return ring.running(c).over(s.upto if upto else s.before)
+            here = Window.partitionBy(s.key, place[a]).orderBy(s.t).rowsBetween(Window.unboundedPreceding, 0 if upto else -1)
+            total = F.coalesce(ring.running(c).over(here), F.lit(ring.zero))
+            for back in (1, 2):
+                strip = Window.partitionBy(s.key).orderBy(place[a]).rangeBetween(-back, -back)
+                total = ring.plus[0](total, F.coalesce(ring.running(c).over(strip) * F.lit(float(np.exp(-back * SPAN / 2))), F.lit(ring.zero)))
+            return total
+
         for depth in range(1, max(n.depth for n in trie.nodes) + 1):
             at = [i for i, n in enumerate(trie.nodes) if n.depth == depth]
             z = {}
@@ -68,7 +109,7 @@ class IteratedSums:
                 n = trie.nodes[i]
                 value = column_value(n.bracket, dims, ring.additive)
                 if n.parent >= 0:
-                    back = ring.running(F.col(f"__w{n.parent}")).over(frame)
+                    back = running(n.parent, not ring.strict)
                     if ring.strict:
                         back = F.coalesce(back, F.lit(ring.zero))
                     if g is not None:
@@ -80,40 +121,61 @@ class IteratedSums:
         out = {}
         for k, i in enumerate(trie.emit):
             if g is not None and self.weighting.total:
-                out[f"s{k + 1}"] = undo(ring.running(F.col(f"__w{i}")).over(s.upto), swing[trie.nodes[i]])
+                out[f"s{k + 1}"] = undo(running(i, True), swing[trie.nodes[i]])
             else:
                 out[f"s{k + 1}"] = ring.running(F.col(f"__z{i}")).over(s.upto)
         s = s.swap(out)
-        return replace(s, df=s.df.drop("__g", *[f"__{c}{i}" for c in "zw" for i in range(len(trie.nodes))]))
+        return replace(s, df=s.df.drop("__g", *place.values(), *[f"__{c}{i}" for c in "zw" for i in range(len(trie.nodes))]))
 
     def argmax(self, s: Series) -> Series:
         """For semirings of maxima: for each prefix of length k, its sums and then k dimensions with the
         positions i_1 .. i_k that reach them at each step, the earliest ones where several do. Words are
-        taken one by one (a prefix that several share comes with each); weights are left aside."""
-        ring, dims, out = self.semiring, [F.col(d) for d in s.dims], {}
-        if ring.strict:
+        taken one by one (a prefix that several share comes with each). Under a weighting the positions
+        are those of the weighted maximum."""
+        if self.semiring.strict:
             raise ValueError("positions are traced for maxima only")
+        g = None
+        if self.weighting is not None:
+            s, g = self.weighting.column(s), F.col("__g")
+        ring, dims, out = self.semiring, [F.col(d) for d in s.dims], {}
         for w, one in enumerate(self.words):
             best = None
             for k, b in enumerate(one):
                 value, t = column_value(b, dims, ring.additive), F.col(s.t).cast("int")
                 path = F.array(t) if best is None else F.concat(f"{best}.path", F.array(t))
-                value = value if best is None else ring.times(F.col(f"{best}.value"), value)
+                lift = lambda i, one=one: F.lit(one.alpha[i]) * g if g is not None else F.lit(0.0)
+                if best is not None:
+                    value = ring.times(F.col(f"{best}.value") - lift(k - 1) if g is not None else F.col(f"{best}.value"), value)
                 # The larger value, then the earlier positions: negated, so that max() finds them.
-                s = s.add({"__c": F.struct(value.alias("value"), F.transform(path, lambda i: -i).alias("early"), path.alias("path"))})
-                best = f"__b{w}_{k}"
-                s = s.add({best: F.max("__c").over(s.upto)})
-                out[f"s{len(out) + 1}"] = F.col(f"{best}.value")
+                def pick(v: Column, s: Series, path=path) -> Series:
+                    return s.add({"__c": F.struct(v.alias("value"), F.transform(path, lambda i: -i).alias("early"), path.alias("path"))})
+
+                plain = f"__b{w}_{k}"
+                s = pick(value, s)
+                if g is None:
+                    best = plain
+                    s = s.add({plain: F.max("__c").over(s.upto)})
+                    shown = F.col(f"{plain}.value")
+                else:  # the next letter needs the weighted maximum, the output only with ``total``
+                    best = f"__b{w}_{k}w"
+                    s = s.add({plain: F.max("__c").over(s.upto)})
+                    s = pick(value + lift(k), s)
+                    s = s.add({best: F.max("__c").over(s.upto)})
+                    shown, plain = (F.col(f"{best}.value") - lift(k), best) if self.weighting.total else (F.col(f"{plain}.value"), plain)
+                out[f"s{len(out) + 1}"] = shown
                 for j in range(k + 1):
-                    out[f"s{len(out) + 1}"] = F.col(f"{best}.path")[j].cast("double")
+                    out[f"s{len(out) + 1}"] = F.col(f"{plain}.path")[j].cast("double")
         s = s.swap(out)
-        return replace(s, df=s.df.drop("__c", *[c for c in s.df.columns if c.startswith("__b")]))
+        return replace(s, df=s.df.drop("__c", "__g", *[c for c in s.df.columns if c.startswith("__b")]))
 
     # ------------------------------------------------------------------ array form
 
     def arrays(self, x: np.ndarray, raw: np.ndarray | None = None, only: range | None = None) -> Iterator[np.ndarray]:
         """[series, step] for each output, or for a range of them. A node's running sum is kept while it
         has children to come; nodes that no output needs are left out."""
+        if self.positions:
+            yield from self._argmax_arrays(x, raw, only)
+            return
         ring, trie = self.semiring, self.trie
         only = range(len(trie.emit)) if only is None else only
         needed = set()
@@ -139,21 +201,22 @@ class IteratedSums:
             z = letters[n.bracket]
             with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
                 if n.parent >= 0:
-                    back = held[n.parent]
-                    if g is not None:
-                        turn = trie.nodes[n.parent].alpha * g
-                        back = back - turn if ring.additive else back * np.exp(-turn)
-                    z = ring.times(back, z)
-                p = ring.accumulate(z if g is None else (z + n.alpha * g if ring.additive else z * np.exp(n.alpha * g)))
+                    z = ring.times(held[n.parent], z)
+                # p: the weighted running sum as seen from each step; seen from the next one, it carries one more increment.
+                p = ring.accumulate(z) if g is None else self._weighted(z, n.alpha * g)
             if last_use.get(n.parent) == i:
                 held.pop(n.parent, None)
             if i in last_use:
                 held[i] = ring.before_array(p)
+                if g is not None and ring.strict and i in last_use:
+                    step = n.alpha * np.diff(g, axis=1)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        held[i][:, 1:] = held[i][:, 1:] - step if ring.additive else held[i][:, 1:] * np.exp(-step)
             if i in wanted:
                 if g is None:
                     out = p
                 elif self.weighting.total:
-                    out = p - n.alpha * g if ring.additive else p * np.exp(-n.alpha * g)
+                    out = p
                 else:
                     out = ring.accumulate(z)
                 for k in wanted[i]:
@@ -162,6 +225,55 @@ class IteratedSums:
                 yield ready.pop(nxt)
                 nxt += 1
 
+    def _weighted(self, z: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """At each step the sum of z(i) carried there: times exp(turn(i) - turn(step)), or plus."""
+        ring = self.semiring
+        if ring.additive:
+            return ring.accumulate(z + turn) - turn
+        turn = turn - turn[:, :1]
+        if ring.plus is None or np.abs(turn).max(initial=0.0) <= SPAN:
+            up = np.exp(turn)
+            return ring.accumulate(z * up) / up
+        out, decay = z.copy(), np.exp(-np.diff(turn, axis=1))
+        for i in range(1, z.shape[1]):
+            out[:, i] = ring.plus[1](out[:, i - 1] * decay[:, i - 1], z[:, i])
+        return out
+
+    def _argmax_arrays(self, x: np.ndarray, raw: np.ndarray | None, only: range | None) -> Iterator[np.ndarray]:
+        ring, length, k_out = self.semiring, x.shape[2], 0
+        g = None if self.weighting is None else self.weighting.array(x if raw is None else raw, x)
+        wanted = range(len(self)) if only is None else only
+
+        def maxima(v: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Running maxima of v [series, step] with the paths [series, step, letter] that reach them, earliest first."""
+            v, path = v.copy(), path.copy()
+            for t in range(1, length):
+                a, b = path[:, t - 1], path[:, t]
+                differ = a != b
+                at = differ.argmax(axis=1)[:, None]
+                earlier = np.take_along_axis(a, at, 1)[:, 0] <= np.take_along_axis(b, at, 1)[:, 0]
+                stay = (v[:, t - 1] > v[:, t]) | ((v[:, t - 1] == v[:, t]) & earlier)
+                v[stay, t], path[stay, t] = v[stay, t - 1], a[stay]
+            return v, path
+
+        steps = np.broadcast_to(np.arange(length)[None, :, None], (x.shape[0], length, 1))
+        for one in self.words:
+            best = path = None
+            for k, b in enumerate(one):
+                v = array_value(b, x, ring.additive)
+                if best is not None:
+                    v = ring.times(best if g is None else best - one.alpha[k - 1] * g, v)
+                own = steps if path is None else np.concatenate([path, steps], axis=2)
+                best, path = maxima(v if g is None else v + one.alpha[k] * g, own)
+                if g is None or self.weighting.total:
+                    shown, at = (best if g is None else best - one.alpha[k] * g), path
+                else:
+                    shown, at = maxima(v, own)
+                for out in (shown, *(at[:, :, j].astype(float) for j in range(k + 1))):
+                    if k_out in wanted:
+                        yield out
+                    k_out += 1
+
 
 @dataclass(frozen=True)
 class CosineSums:
@@ -171,7 +283,7 @@ class CosineSums:
 
     cos(a - b)^s expands into s + 1 products of powers of sines and cosines of a and b, so each level
     keeps s + 1 running sums. ``net``: for each output the weights (w1 [hidden, dims], b1, w2
-    [hidden]) of a two-layer net over the dimensions, whose value takes the place of all letters;
+    [dims, hidden]) of a two-layer net over the dimensions; the letters of the word are of its outputs.
     ``dropped``: for each output and level, steps that count as 0 (as shares of the length). Both
     come from :meth:`drawn`. ``dropped`` has no effect beside ``net``.
     """
@@ -198,7 +310,7 @@ class CosineSums:
         """With random nets of ``hidden`` units (uniform weights), or with random dropped steps."""
         rng = np.random.default_rng(seed)
         if hidden:
-            return replace(self, net=tuple((rng.random((hidden, dims)).tolist(), rng.random(hidden).tolist(), rng.random(hidden).tolist()) for _ in range(len(self))))
+            return replace(self, net=tuple((rng.random((hidden, dims)).tolist(), rng.random(hidden).tolist(), rng.random((dims, hidden)).tolist()) for _ in range(len(self))))
         if dropout:
             return replace(self, dropped=tuple(tuple((int(rng.integers(1 << 31)), float(dropout)) for _ in w) for w in self.words for _ in self.freqs))
         return self
@@ -218,10 +330,12 @@ class CosineSums:
                 angle = np.pi * np.arange(length) / (f * max(length - 1, 1))
                 parts = [np.cos(angle) ** r * np.sin(angle) ** (s - r) for r in range(s + 1)]
                 back = None
+                if self.net:
+                    w1, b1, w2 = (np.asarray(v) for v in self.net[k])
+                    y = np.einsum("oh,nht->not", w2, np.maximum(np.einsum("hd,ndt->nht", w1, x) + b1[None, :, None], 0))
                 for level, b in enumerate(w):
                     if self.net:
-                        w1, b1, w2 = (np.asarray(v) for v in self.net[k])
-                        c = np.einsum("h,hnt->nt", w2, np.maximum(np.einsum("hd,ndt->hnt", w1, x) + b1[:, None, None], 0))
+                        c = array_value(b, y, False)
                     else:
                         if b not in letters:
                             letters[b] = array_value(b, x, False)
@@ -250,11 +364,14 @@ class CosineSums:
         part = lambda fi, r: F.pow(F.col(f"__c{fi}"), F.lit(r)) * F.pow(F.col(f"__s{fi}"), F.lit(e - r))
         keys = [(w, fi) for w in range(len(self.words)) for fi in range(len(self.freqs))]
 
+        if self.net:  # the net of each output, as columns
+            for k, (w1, b1, w2) in enumerate(self.net):
+                s = s.add({f"__h{k}_{i}": F.greatest(sum((dims[d] * F.lit(float(a)) for d, a in enumerate(row)), F.lit(float(c))), F.lit(0.0)) for i, (row, c) in enumerate(zip(w1, b1, strict=True))})
+                s = s.add({f"__y{k}_{o}": sum((F.col(f"__h{k}_{i}") * F.lit(float(v)) for i, v in enumerate(row)), F.lit(0.0)) for o, row in enumerate(w2)})
+                s = replace(s, df=s.df.drop(*[f"__h{k}_{i}" for i in range(len(w1))]))
+
         def letter(k: int, b):
-            if not self.net:
-                return column_value(b, dims, False)
-            w1, b1, w2 = self.net[k]
-            return sum((F.greatest(sum((dims[d] * F.lit(a) for d, a in enumerate(row)), F.lit(c)), F.lit(0.0)) * F.lit(v) for row, c, v in zip(w1, b1, w2, strict=True)), F.lit(0.0))
+            return column_value(b, [F.col(f"__y{k}_{o}") for o in range(len(self.net[k][2]))] if self.net else dims, False)
 
         for level in range(max(map(len, self.words))):
             at = [(k, w, fi) for k, (w, fi) in enumerate(keys) if len(self.words[w]) > level]
@@ -272,4 +389,5 @@ class CosineSums:
             else:
                 out[f"s{k + 1}"] = F.sum(f"__z{k}").over(s.upto)
         s = s.swap(out)
-        return replace(s, df=s.df.drop("__n", *[f"__z{k}" for k in range(len(keys))], *[f"__{c}{i}" for c in "cs" for i in range(len(self.freqs))]))
+        made = [f"__y{k}_{o}" for k, net in enumerate(self.net or ()) for o in range(len(net[2]))]
+        return replace(s, df=s.df.drop("__n", *made, *[f"__z{k}" for k in range(len(keys))], *[f"__{c}{i}" for c in "cs" for i in range(len(self.freqs))]))

@@ -127,7 +127,7 @@ _prep("inc_keep", P.INC(shift=2, zero_padding=False), _sql_steps(f"{_LI}, {_over
 _prep("inc_share", P.INC(shift=0.1), _sql_steps(f"{_EV}, {_over('n', 'ev', x1='x1', k='ceil(0.1 * count(*) OVER w)')}", "n LEFT JOIN n m USING (series_id) WHERE m.t = n.t - n.k UNION ALL SELECT series_id, t, 0.0 FROM n WHERE t < k", x1="n.x1 - m.x1").replace("SELECT series_id::BIGINT AS series_id, t::BIGINT", "SELECT series_id::BIGINT AS series_id, n.t::BIGINT", 1), events)
 _prep("std", P.STD(), _sql_steps(f"{_LI}, {_over('p', 'li', **_both('({x} - avg({x}) OVER w) / (stddev_pop({x}) OVER w + 1e-5)'))}", "p", x1="x1", x2="x2"))
 _prep("std_mean", P.STD(var=False), _sql_steps(f"{_LI}, {_over('p', 'li', **_both('{x} - avg({x}) OVER w'))}", "p", x1="x1", x2="x2"))
-_prep("std_global", P.STD(separately=False), _sql_steps(f"{_LI}, v AS (SELECT unnest([x1, x2]) AS v FROM li), g AS (SELECT avg(v) AS m, stddev_pop(v) AS d FROM v)", "li, g", x1="(x1 - m) / (d + 1e-5)", x2="(x2 - m) / (d + 1e-5)"))
+_prep("std_global", P.STD(separately=False), _sql_steps(f"{_LI}, v AS (SELECT unnest([x1, x2]) AS v FROM li), g AS (SELECT avg(v) AS m, stddev_pop(v) AS d FROM v)", "li", **_both("({x} - (SELECT m FROM g)) / ((SELECT d FROM g) + 1e-5)")))
 _prep("nrm", P.NRM(), _sql_steps(f"{_LI}, {_over('p', 'li', **_both('CASE WHEN max({x}) OVER w > min({x}) OVER w THEN ({x} - min({x}) OVER w) / (max({x}) OVER w - min({x}) OVER w) ELSE 0 END'))}", "p", x1="x1", x2="x2"))
 _prep("nrm_scale", P.NRM(True), _sql_steps(f"{_LI}, {_over('m', 'li', x1='x1', x2='x2', lo='least(min(x1) OVER w, min(x2) OVER w)', hi='greatest(max(x1) OVER w, max(x2) OVER w)')}", "m", **_both("CASE WHEN hi > lo THEN ({x} - lo) / (hi - lo) ELSE 0 END")))
 _MAV = "CASE WHEN t >= 4 THEN avg({x}) OVER (PARTITION BY series_id ORDER BY t ROWS 4 PRECEDING) ELSE 0 END"
@@ -151,8 +151,8 @@ _LASTS = "last_value({x}) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN U
 _prep("cts", P.CTS(3), _sql_steps(f"{_LI}, {_over('p', 'li', **_both('coalesce(lead({x}, 3) OVER o, ' + _LASTS + ')'))}", "p", x1="x1", x2="x2"))
 _prep("cts_pseudo", P.CTS(0.1, True), _sql_steps(f"{_LI}, {_over('n', 'li', x1='x1', x2='x2', k='greatest(floor(0.1 * count(*) OVER w), 1)')}", "n", **_both("CASE WHEN t < k THEN 0 ELSE {x} END")))
 _QUANTILE = f"{_LI}, v AS (SELECT unnest([x1, x2]) AS v FROM li), g AS (SELECT quantile_cont(v, 0.9) AS q FROM v)"
-_prep("qtc", P.QTC(0.9), _sql_steps(_QUANTILE, "li, g", **_both("CASE WHEN {x} > q THEN q ELSE {x} END")))
-_prep("qtc_bound", P.QTC(0.9, True, 2.5), _sql_steps(_QUANTILE, "li, g", **_both("CASE WHEN {x} < q THEN 2.5 ELSE {x} END")))
+_prep("qtc", P.QTC(0.9), _sql_steps(_QUANTILE, "li", **_both("CASE WHEN {x} > (SELECT q FROM g) THEN (SELECT q FROM g) ELSE {x} END")))
+_prep("qtc_bound", P.QTC(0.9, True, 2.5), _sql_steps(_QUANTILE, "li", **_both("CASE WHEN {x} < (SELECT q FROM g) THEN 2.5 ELSE {x} END")))
 _prep("fun", P.FUN(lambda s: s.swap({d: F.col(d) * F.col(d) for d in s.dims})), _sql_steps(_LI, "li", x1="x1 * x1", x2="x2 * x2"))
 _prep("dil", P.DIL(0.05, seed=7), None, vectors)
 _COQ = f"{_LI}, {_over('d', 'li', x1='x1', x2='x2', e='coalesce((x1 - lag(x1) OVER o) * (x1 - lag(x1) OVER o), 0)')}, {_over('p', 'd', x1='x1', x2='x2', p='sum(e) OVER c', z='sum(e) OVER w')}"
@@ -270,9 +270,23 @@ def _cosine(name: str, exponent: int, total: bool) -> None:
 _cosine("coswiss_e1", 1, False)
 _cosine("coswiss_e2", 2, False)
 _cosine("coswiss_e3_total", 3, True)
-_NET1 = ((((1.0, -0.5), (0.5, 0.25)), (0.1, 0.2), (1.0, 2.0)),)
-_CNET = f"{_LI}, {_over('n', 'li', c='greatest(x1 - 0.5 * x2 + 0.1, 0) + 2 * greatest(0.5 * x1 + 0.25 * x2 + 0.2, 0)', a=f'{_PI} * t / (0.5 * (count(*) OVER w - 1))')}, {_over('s2', 'n', z='c * (cos(a) * coalesce(sum(c * cos(a)) OVER b, 0) + sin(a) * coalesce(sum(c * sin(a)) OVER b, 0))')}, {_over('r', 's2', s1='sum(z) OVER c')}"
-_add("coswiss_ffn", lambda spark, sf_dir: _sums(CosineSums(("[1][2]",), (0.5,), net=_NET1).series(lines(spark, sf_dir))), _sql_sums(_CNET, "r", s1="s1"))
+# One net for each of the words [1][2] and [22][1]: three hidden units, two outputs, of which the letters are.
+_NET1 = (
+    (((1.0, -0.5), (0.5, 0.25), (-0.75, 1.0)), (0.1, 0.2, 0.3), ((1.0, 2.0, -0.5), (0.25, -1.0, 1.5))),
+    (((0.5, 0.5), (-1.0, 0.75), (0.25, -0.25)), (0.05, 0.6, 0.1), ((0.5, 1.0, 2.0), (1.0, 0.5, -1.0))),
+)
+
+
+def _net_sql() -> str:
+    hidden = [[f"greatest({a} * x1 + {b} * x2 + {c}, 0)" for (a, b), c in zip(w1, b1, strict=True)] for w1, b1, _ in _NET1]
+    y = [[" + ".join(f"({v}) * {h}" for v, h in zip(row, hidden[k], strict=True)) for row in _NET1[k][2]] for k in (0, 1)]
+    ctes = f"{_LI}, {_over('n', 'li', a=f'{_PI} * t / (0.5 * (count(*) OVER w - 1))', p=y[0][0], q=y[0][1], u=y[1][0], v=y[1][1])}"
+    turned = "{c} * (cos(a) * coalesce(sum({b} * cos(a)) OVER b, 0) + sin(a) * coalesce(sum({b} * sin(a)) OVER b, 0))"
+    ctes += f", {_over('s2', 'n', z1=turned.format(b='p', c='q'), z2=turned.format(b='v * v', c='u'))}, {_over('r', 's2', s1='sum(z1) OVER c', s2='sum(z2) OVER c')}"
+    return _sql_sums(ctes, "r", s1="s1", s2="s2")
+
+
+_add("coswiss_ffn", lambda spark, sf_dir: _sums(CosineSums(("[1][2]", "[22][1]"), (0.5,), net=_NET1).series(lines(spark, sf_dir))), _net_sql())
 
 
 def _arrow_features(pipeline: pl.Pipeline):
@@ -370,6 +384,22 @@ _add(
     _sql_rows(_SMALL, "j", ["max(CASE WHEN t = n - 1 THEN s1 END)", "count(*) FILTER (WHERE i1 > 0)", "max(CASE WHEN t = n - 1 THEN s2 END)", "count(*) FILTER (WHERE i2 > 0)", "max(CASE WHEN t = n - 1 THEN s3 END)", "max(s3)", "coalesce(avg(i3) FILTER (WHERE i3 > 0), 0)"]),
 )
 _add("pipeline_small_arrow", lambda spark, sf_dir: _rows(pl.run(SMALL, events(spark, sf_dir), "arrow")), _SQL["pipeline_small"])
+# Positions of maxima as series of a slice: how often they move, and where they end.
+POSITIONS = pl.Pipeline((pl.Slice((), (IteratedSums(("[1][(-1)]",), True, Arctic(), positions=True),), (S.END(), S.NPI())),), "positions")
+_PLACES = _SQL["iss_arctic_argmax"].split("SELECT series_id::BIGINT")[0].removeprefix("WITH ").rstrip() + f""", f AS (SELECT series_id, t, v1 AS s1, i1::DOUBLE AS s2, v2 AS s3, j.a::DOUBLE AS s4, j.b::DOUBLE AS s5 FROM e),
+ h AS (SELECT series_id, t, count(*) OVER w AS n, s1, s2, s3, s4, s5, {", ".join(f"coalesce(s{i} - lag(s{i}) OVER o, 0) AS d{i}" for i in range(1, 6))} FROM f {_WINDOWS})"""
+_add("pipeline_positions", lambda spark, sf_dir: _rows(pl.run(POSITIONS, events(spark, sf_dir), "arrow")), _sql_rows(_PLACES, "h", [e for i in range(1, 6) for e in (f"max(CASE WHEN t = n - 1 THEN s{i} END)", f"count(*) FILTER (WHERE d{i} > 0)")]))
+
+
+def _general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of the 20,167 features, over all series: how many aren't 0, least, largest and mean value."""
+    packed = packed_vectors(spark, sf_dir)
+    model = shipped.general().fit(packed)
+    long = model.transform(packed).select(F.posexplode("features").alias("feature", "v"))
+    return long.groupBy("feature").agg(F.count_if(F.col("v") != 0).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"))
+
+
+_add("pipeline_general", _general)
 _add("pipeline_reduced", _arrow_features(shipped.reduced()))
 _add("pipeline_time_warping", _arrow_features(shipped.time_warping_invariant()))
 

@@ -11,6 +11,7 @@ from sumloom.functions.words import word
 from sumloom.operators.sums import CosineSums, IteratedSums
 
 WORDS = ("[1]", "[2]", "[11]", "[12]", "[1][1]", "[1][2]")
+# Results for the shared cube.
 REALS = [
     [[-4, -3.2, -3.2, 1.8, -1.2], [5, 13, 15, 21, 21]],
     [[2, 3, 3, 3, -4], [-5, -6, -10, -10.5, -18.5]],
@@ -137,3 +138,59 @@ def test_dropped_steps_and_nets():
     assert not np.allclose(base[0], next(dropped.arrays(x)))
     np.testing.assert_allclose(next(dropped.arrays(x)), next(dropped.arrays(x)))
     assert len(list(CosineSums(("[1][2]",), (0.5, 0.25)).drawn(2, 1, hidden=4).arrays(x))) == 2
+
+
+@pytest.mark.parametrize("ring", [Reals(), Bayesian(), Arctic()], ids=lambda r: r.name)
+@pytest.mark.parametrize("total", [False, True])
+@pytest.mark.parametrize("weighting", [W.Indices(), W.L1(), W.Plateaus(n=4)], ids=["indices", "l1", "plateaus"])
+def test_heavy_weights_against_brute_force(spark, ring, total, weighting):
+    x = np.random.default_rng(8).random((2, 2, 14))
+    w = word("[1][2][1]", (20.0, 13.0, 17.0))
+    weighting = replace(weighting, total=total)
+    out = both(spark, IteratedSums((w,), semiring=ring, weighting=weighting), x)
+    g = weighting.array(x, x)
+    for n in range(2):
+        for t in (2, 7, 13):
+            want = brute(ring, [(0, 1), (1, 1), (0, 1)], w.alpha, g[n], total, x[n], t)
+            np.testing.assert_allclose(out[n, 0, t], want, rtol=1e-8, atol=1e-250)
+
+
+def test_heavy_custom_weights():
+    x, g = np.random.default_rng(9).random((1, 2, 8)), np.linspace(0, 900, 8)[None]
+    out = next(IteratedSums((word("[1][2]", (1.0, 1.0)),), weighting=W.Custom(of_cube=lambda c: g)).arrays(x))
+    want = brute(Reals(), [(0, 1), (1, 1)], (1.0, 1.0), g[0], False, x[0], 7)
+    np.testing.assert_allclose(out[0, 7], want, rtol=1e-9)
+
+
+@pytest.mark.parametrize("weighting", [None, W.Indices(scale=2.0), W.Indices(scale=2.0, total=True)], ids=["plain", "weighted", "total"])
+def test_positions_in_both_forms(spark, weighting):
+    rng = np.random.default_rng(10)
+    x = rng.integers(-2, 3, (3, 2, 7)).astype(float) if weighting is None else rng.standard_normal((3, 2, 7))
+    sums = IteratedSums((word("[1][(-2)][1]", (0.5, 0.25, 0.75)), word("[2]", (1.0,))), True, Arctic(), weighting, True)
+    out = both(spark, sums, x)
+    assert out.shape[1] == len(sums) == len(sums.labels) == 11
+    g = np.zeros((3, 7)) if weighting is None else weighting.array(x, x)
+    for n in range(3):
+        for t in range(7):
+            def value(i, j, n=n, t=t):
+                lift = 0.5 * (g[n, i] - g[n, j]) + (0.25 * (g[n, j] - g[n, t]) if weighting is not None and weighting.total else 0.0)
+                return x[n, 0, i] - x[n, 1, j] + lift
+
+            v, i, j = max((round(value(i, j), 9), -i, -j) for j in range(t + 1) for i in range(j + 1))
+            np.testing.assert_allclose(out[n, 2, t], v, atol=1e-8)
+            assert out[n, 3:5, t].tolist() == [-i, -j]
+    with pytest.raises(ValueError):
+        IteratedSums(("[1]",), False, Arctic(), None, True)
+    with pytest.raises(ValueError):
+        IteratedSums(("[1]",), True, Reals(), None, True)
+
+
+def test_net_outputs_are_letters(spark):
+    x = np.random.default_rng(11).standard_normal((2, 2, 6))
+    sums = CosineSums(("[1][2]", "[1][1]", "[2][2]"), (0.5,), 2, True).drawn(2, 3, hidden=4)
+    sums = replace(sums, net=(sums.net[0],) * 3)
+    out = both(spark, sums, x)
+    w1, b1, w2 = (np.array(v) for v in sums.net[0])
+    assert w2.shape == (2, 4) and not np.allclose(out[:, 0], out[:, 1]) and not np.allclose(out[:, 1], out[:, 2])
+    y = np.stack([w2 @ np.maximum(w1 @ c + b1[:, None], 0) for c in x])
+    np.testing.assert_allclose(out, np.stack(list(CosineSums(("[1][2]", "[1][1]", "[2][2]"), (0.5,), 2, True).arrays(y)), axis=1))
