@@ -11,15 +11,21 @@ equal windows always meet under equal minimisers and the graph is held in compac
    same path doesn't branch, and the path is settled by its smallest document;
 3. only the distinct paths of branching minimisers are opened to single windows; windows
    are compared by their minimiser and 128 bits of hash, and for each the smallest document counts;
-4. the settled paths join back to their occurrences, whose source coordinates (document, first
-   word, length) give the words that go.
+4. source coordinates (document, first word, length) fetch the words of each path that is to count
+   once, from its smallest document. Windows that met in two paths are compared word by word;
+5. the settled paths, with their words, join back to their occurrences. Each occurrence compares its
+   own words with those of the source, and only then are words taken out.
+
+Hashes so only propose; nothing is removed that isn't the same words at both coordinates.
 
 Copies of a passage therefore cost one row for each path, not for each window, and no group of
-equal windows is gathered anywhere: all groups are reduced to a minimum before they are moved.
+equal windows is gathered anywhere: all groups are reduced to a minimum before they are moved. Words
+of a path go to its occurrences, so what moves is in proportion to the repeated text itself.
 
 Edge cases: null and empty texts have no words; documents under ``window`` words lose none; a null
 doc_id is neither smaller nor larger than another, so such a row loses nothing and takes nothing
-away; rows that repeat a doc_id don't take from each other; extra columns are not read.
+away; rows that repeat a doc_id don't take from each other; an empty table gives no rows; extra
+columns are not read. Tables written on the way are deleted once what was made of them is written.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumloom.llm.common import U64, Words, chunks, materialize, mix, powers, table
+from sumloom.llm.common import U64, Words, chunks, materialize, mix, powers, release, table
 
 WINDOW = 50
 K = 16
@@ -169,6 +175,40 @@ def _windows(window: int):
     return run
 
 
+def _path_words(window: int):
+    """The words, joined by one space, of the paths at the coordinates in column ``need``."""
+
+    def run(batches):
+        for batch in batches:
+            deflate = zstandard.ZstdCompressor(level=1).compress
+            part, s1, s2, out = _unpacked(batch), [], [], []
+            for text, need in zip(part.column("text"), part.column("need"), strict=True):
+                words = text.as_py().encode().split()
+                for p in need.as_py():
+                    s1.append(p["s1"])
+                    s2.append(p["s2"])
+                    out.append(deflate(b" ".join(words[p["i"] : p["i"] + p["w"] + window - 1])))
+            yield pa.RecordBatch.from_arrays([pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(out, pa.binary())], names=["s1", "s2", "words"])
+
+    return run
+
+
+def _same_words(window: int):
+    """Of windows ``ks`` of one path and ``ks - shift`` of another, those that are the same words."""
+
+    def run(batches):
+        inflate = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                own, source = inflate(r["words"]).split(b" "), inflate(r["source"]).split(b" ")
+                rows += [(r["s1"], r["s2"], k, r["lo"]) for k in r["ks"] if own[k : k + window] == source[k - r["shift"] : k - r["shift"] + window]]
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], names=["s1", "s2", "k", "lo"])
+
+    return run
+
+
 def _hash_words(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -187,6 +227,7 @@ def _cut(window: int, with_text: bool):
     """Apply the settled paths (column ``found``) to each touched document."""
 
     def run(batches):
+        inflate = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             part = _unpacked(batch)
             ids, n_removed, sha, spans, kept = part.column("doc_id"), [], [], [], []
@@ -194,6 +235,8 @@ def _cut(window: int, with_text: bool):
                 words, own = text.as_py().encode().split(), doc_id.as_py()
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
                 for path in found.as_py():
+                    if path["words"] is not None and inflate(path["words"]) != b" ".join(words[path["i"] : path["i"] + path["w"] + window - 1]):
+                        continue
                     least = np.full(path["w"], path["least"])
                     for x in path["other"] or ():
                         least[x["k"]] = min(least[x["k"]], x["lo"])
@@ -222,21 +265,41 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     held = materialize(nodes.join(repeated, "m").groupBy("doc_id").agg(F.collect_set("m").alias("nodes")), "held")
     touched = materialize(texts.mapInArrow(_pack, "doc_id long, tid long, packed binary").join(held, "doc_id"), "touched")
     occurrences = materialize(touched.mapInArrow(_paths(window), "m long, s1 long, s2 long, doc_id long, tid long, i int, w int"), "occurrences")
-    paths = materialize(occurrences.groupBy("m", "s1", "s2").agg(F.min(F.struct("doc_id", "i")).alias("first")).select("m", "s1", "s2", F.col("first.doc_id").alias("least"), "first.i"), "paths")
+    first = F.min(F.struct("doc_id", "tid", "i", "w")).alias("first")
+    paths = materialize(occurrences.groupBy("m", "s1", "s2").agg(first, F.max("doc_id").alias("hi")).select("m", "s1", "s2", F.col("first.doc_id").alias("least"), "first.tid", "first.i", "first.w", "hi"), "paths")
+    release(repeated, held)
     branching = materialize(paths.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"), "branching")
-    open_ = paths.join(branching, "m").groupBy(F.col("least").alias("doc_id")).agg(F.collect_set("i").alias("starts"))
-    windows = materialize(touched.drop("nodes").join(open_, "doc_id").mapInArrow(_windows(window), "m long, h long, h2 long, doc_id long, s1 long, s2 long, k int"), "windows")
-    shared = materialize(windows.groupBy("m", "h", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m", "h", "h2", "lo"), "shared")
-    other = windows.join(shared, ["m", "h", "h2"]).where("lo < doc_id").groupBy("s1", "s2").agg(F.collect_list(F.struct("k", "lo")).alias("other"))
-    settled = materialize(paths.select("s1", "s2", "least").join(other, ["s1", "s2"], "left"), "settled")
+    open_ = paths.join(branching, "m").groupBy(F.col("least").alias("doc_id"), "tid").agg(F.collect_set("i").alias("starts"))
+    windows = materialize(touched.drop("nodes").join(open_, ["doc_id", "tid"]).mapInArrow(_windows(window), "m long, h long, h2 long, doc_id long, s1 long, s2 long, k int"), "windows")
+    source = F.min(F.struct("doc_id", "s1", "s2", "k")).alias("first")
+    shared = windows.groupBy("m", "h", "h2").agg(source, F.max("doc_id").alias("hi")).where("first.doc_id < hi")
+    shared = materialize(shared.select("m", "h", "h2", F.col("first.doc_id").alias("lo"), F.col("first.s1").alias("a1"), F.col("first.s2").alias("a2"), F.col("first.k").alias("ak")), "shared")
+    met = windows.join(shared, ["m", "h", "h2"]).where("lo < doc_id").groupBy("s1", "s2", "a1", "a2", "lo", (F.col("k") - F.col("ak")).alias("shift")).agg(F.collect_list("k").alias("ks"))
+    met = materialize(met, "met")
+    release(branching, windows, shared)
+
+    wanted = paths.where("least < hi").select("s1", "s2").union(met.select("s1", "s2")).union(met.select(F.col("a1").alias("s1"), F.col("a2").alias("s2"))).distinct()
+    need = paths.join(wanted, ["s1", "s2"]).groupBy(F.col("least").alias("doc_id"), "tid").agg(F.collect_list(F.struct("s1", "s2", "i", "w")).alias("need"))
+    words = materialize(touched.drop("nodes").dropDuplicates(["doc_id", "tid"]).join(need, ["doc_id", "tid"]).mapInArrow(_path_words(window), "s1 long, s2 long, words binary"), "words")
+    compared = met.join(words, ["s1", "s2"]).join(words.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("words").alias("source")), ["a1", "a2"])
+    same = compared.select("s1", "s2", "lo", "shift", "ks", "words", "source").mapInArrow(_same_words(window), "s1 long, s2 long, k int, lo long")
+    other = same.groupBy("s1", "s2").agg(F.collect_list(F.struct("k", "lo")).alias("other"))
+    settled = paths.where("least < hi").select("s1", "s2").union(met.select("s1", "s2")).distinct().join(paths.select("s1", "s2", "least"), ["s1", "s2"])
+    settled = materialize(settled.join(other, ["s1", "s2"], "left").join(words, ["s1", "s2"]), "settled")
+    release(paths, met, words)
     found = occurrences.join(settled, ["s1", "s2"]).where("least < doc_id or other is not null")
-    found = found.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("i", "w", "least", "other")).alias("found"))
-    return touched.drop("nodes").join(found, ["doc_id", "tid"]).mapInArrow(_cut(window, with_text), "doc_id long, tid long, n_removed long, sha string, spans array<struct<start:long,end:long>>, kept_text string")
+    found = found.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("i", "w", "least", "other", F.when(F.col("least") != F.col("doc_id"), F.col("words")).alias("words"))).alias("found"))
+    out = touched.drop("nodes").join(found, ["doc_id", "tid"]).mapInArrow(_cut(window, with_text), "doc_id long, tid long, n_removed long, sha string, spans array<struct<start:long,end:long>>, kept_text string")
+    out = materialize(out, "spans")
+    release(touched, occurrences, settled)
+    return out
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("tid"), "text")
-    cut = materialize(repeated_spans(docs).where("n_removed > 0").select("doc_id", "tid", "n_removed", "sha").dropDuplicates(["doc_id", "tid"]), "cut")
+    spans = repeated_spans(docs)
+    cut = materialize(spans.where("n_removed > 0").select("doc_id", "tid", "n_removed", "sha").dropDuplicates(["doc_id", "tid"]), "cut")
+    release(spans)
     plain = docs.mapInArrow(_plain, "doc_id long, tid long, n_words long, kept_sha256 string")
     out = plain.join(cut, ["doc_id", "tid"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "kept_sha256").alias("kept_sha256"))
