@@ -192,7 +192,7 @@ def test_repeated_ids_are_queries_by_vector(spark):
 def test_far_regions_are_not_visited():
     rng = np.random.default_rng(7)
     x = rng.standard_normal((3200, 2))
-    top = vptree.Top(x[::5], float((x**2).sum(axis=1).max()), 16)
+    top = vptree.Top(x[::5], float((x**2).sum(axis=1).max()), 64)
     region, found = top.place(x)
     top.reach = [np.array(found[r]) if r in found else None for r in range(top.n)]
     q, best = x[::50], np.sort(x[::50] @ x.T, axis=1)[:, -20]
@@ -200,7 +200,8 @@ def test_far_regions_are_not_visited():
     exact = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + top.top - 2 * q @ x.T, 0))
     for r in found:
         assert (bounds[:, r][:, None] <= exact[:, region == r] + 1e-9).all()
-    assert (bounds <= worst[:, None]).mean() < 0.4
+    # 0.64 of the regions for exact search, 0.24 for a factor of 1.5
+    assert (bounds <= worst[:, None]).mean() < 0.7 and (1.5 * bounds <= worst[:, None]).mean() < 0.3
 
 
 def test_calibration_on_held_out_rows(spark):
