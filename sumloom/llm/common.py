@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 U64 = np.uint64
@@ -28,6 +29,8 @@ _LIBC = ctypes.CDLL(None)
 CHUNK_BYTES = 1 << 20
 #: Documents that the kernel handles at once.
 CHUNK_ROWS = 4096
+#: Words of 64 bits in the filter of :func:`likely`, that is, rows that it broadcasts at most.
+FILTER_WORDS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +108,17 @@ def _inflated(batches):
         yield inflate(batch)
 
 
+def likely(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows that a join with ``ids`` by a long column of both can find, and few others, before they
+    are moved: every id sets one bit of FILTER_WORDS words. Of many millions of ids the filter passes more
+    rows, in the end all; it never drops one that the join finds, so the join decides at any size."""
+    h = f"xxhash64(`{column}`)"
+    place, bit = f"cast({h} & {FILTER_WORDS - 1} as int)", f"cast(shiftrightunsigned({h}, 40) & 63 as int)"
+    words = ids.select(F.expr(place).alias("__place"), F.expr(f"shiftleft(1L, {bit})").alias("__bit")).groupBy("__place").agg(F.bit_or("__bit").alias("__word"))
+    found = rows.withColumn("__place", F.expr(place)).join(F.broadcast(words), "__place")
+    return found.where(F.expr(f"getbit(__word, {bit}) = 1")).select(*rows.columns)
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows of ``docs`` whose doc_id, null included, is in a column of ``ids``, unchanged. The ids
     grow with the documents, so they are never broadcast, at no size."""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumloom.llm.common import LOWER, U64, Words, chunks, deflated, grams, inflate, materialize, mix, powers, release, table
+from sumloom.llm.common import LOWER, U64, Words, chunks, deflated, grams, inflate, likely, materialize, mix, powers, release, table
 from sumloom.llm.components import connected_components
 
 #: At similarity 0.75 a pair shares no band with probability (1 - 0.75**5)**36 = 6e-5.
@@ -233,11 +233,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 75, bands: int
     members = materialize(banded.join(shared, "key").distinct(), "members")
     release(shared)
     candidates = materialize(members.select("cls").distinct(), "candidates")
-    first = classes.join(candidates, "cls", "left_semi").select(F.col("first_row").alias("rid")).distinct()
-    sets = deflated(texts.select("rid", "text")).join(first.hint("merge"), "rid", "left_semi").mapInArrow(_sets(k), SETS)
+    first = materialize(classes.join(candidates, "cls", "left_semi").select(F.col("first_row").alias("rid")).distinct(), "first")
+    sets = deflated(likely(texts.select("rid", "text"), first, "rid")).join(first.hint("merge"), "rid", "left_semi").mapInArrow(_sets(k), SETS)
     sigs = signed.join(candidates, "cls", "left_semi").join(classes.select("cls", F.col("first_row").alias("rid")), ["cls", "rid"], "left_semi").select("cls", "sig").dropDuplicates(["cls"])
     sets = materialize(sets.join(sigs, "cls").dropDuplicates(["cls"]), "sets")
-    release(candidates)
+    release(candidates, first)
 
     # A sample of long sets will do: it only chooses the centres.
     own = sets.select("cls", F.explode("sample").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("cls").alias("cls")).where("c = 1").groupBy("cls").agg(F.count("*").alias("own"))

@@ -90,3 +90,23 @@ def test_components(spark, kind):
     df = spark.createDataFrame([*edges, (None, 3), (4, 4)], "a long, b long")
     got = {r.id: r.root for r in connected_components(df).collect()}
     assert got == {x: find(x) for x in linked}
+
+
+def test_filter_before_a_join_loses_no_row(spark):
+    from pyspark.sql import functions as F
+
+    from sumloom.llm import common
+
+    rows = spark.range(40_000).select(F.when(F.col("id") % 11 != 0, F.col("id") - 20_000).alias("n"), "id")
+    ids = spark.range(-300, 300, 3).select(F.col("id").alias("n")).union(spark.sql("select cast(null as long)"))
+    kept = common.likely(rows, ids, "n")
+    assert kept.columns == rows.columns
+    found = {r.id for r in kept.collect()}
+    assert {r.id for r in rows.join(ids, "n", "left_semi").collect()} <= found and len(found) < 40_000 / 11 + 300
+    assert common.likely(rows, ids.limit(0), "n").count() == 0
+    words = common.FILTER_WORDS
+    try:  # far more ids than bits: all pass
+        common.FILTER_WORDS = 4
+        assert common.likely(rows, rows.select("n"), "n").count() == 40_000
+    finally:
+        common.FILTER_WORDS = words
