@@ -256,4 +256,22 @@ def scores(docs: DataFrame, order: int = ORDER, min_count: int = 2) -> DataFrame
 
 
 def op7_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(table(spark, sf_dir, "documents"))
+    """Scores to six places: engines that add in another order give the same."""
+    places = {c: F.round(c, 6) + F.lit(0.0) for c in ("log_score", "per_word")}
+    return scores(table(spark, sf_dir, "documents")).withColumns(places)
+
+
+# Counts by the n-grams themselves.
+ORACLE_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+x AS (SELECT r, i, ws[i] AS g1, CASE WHEN i > 1 THEN ws[i - 1] || ' ' || ws[i] END AS g2, CASE WHEN i > 2 THEN ws[i - 2] || ' ' || ws[i - 1] || ' ' || ws[i] END AS g3 FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+n AS (SELECT count(*) AS n FROM x),
+c1 AS (SELECT g1, count(*) AS n1 FROM x GROUP BY g1),
+c2 AS (SELECT g2, count(*) AS n2 FROM x WHERE g2 IS NOT NULL GROUP BY g2),
+c3 AS (SELECT g3, count(*) AS n3 FROM x WHERE g3 IS NOT NULL GROUP BY g3),
+y AS (SELECT r, i, n1, n2, n3, lag(n1) OVER o AS p1, lag(n2) OVER o AS p2 FROM x JOIN c1 USING (g1) LEFT JOIN c2 USING (g2) LEFT JOIN c3 USING (g3) WINDOW o AS (PARTITION BY r ORDER BY i)),
+z AS (SELECT r, least(i, 3) AS longest, CASE WHEN n3 >= 2 THEN 3 WHEN n2 >= 2 THEN 2 ELSE 1 END AS level, CASE WHEN n3 >= 2 THEN ln(n3 / p2) WHEN n2 >= 2 THEN ln(n2 / p1) ELSE ln(n1 / (SELECT n FROM n)) END AS s FROM y),
+d AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE level < longest) AS b, sum(s + (longest - level) * ln(0.4::DOUBLE)) AS s FROM z GROUP BY r)
+SELECT doc_id::BIGINT AS doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(b, 0)::BIGINT AS n_backed_off, round(coalesce(s, 0.0), 6) + 0.0 AS log_score, round(coalesce(s / n, 0.0), 6) + 0.0 AS per_word
+FROM w LEFT JOIN d USING (r)
+"""

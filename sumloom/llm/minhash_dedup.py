@@ -297,3 +297,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 75, bands: int
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# All pairs of sets that share a shingle, and the closure of their links.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3] || ' ' || ws[i+4]))) END AS sh FROM w),
+c AS (SELECT sh, min(doc_id) AS lo, count(*) AS class_size, row_number() OVER (ORDER BY min(doc_id) NULLS LAST, min(r)) AS cls FROM s WHERE len(sh) > 0 GROUP BY sh),
+u AS (SELECT cls, len(sh) AS n, unnest(sh) AS h FROM c),
+k AS (SELECT h, row_number() OVER () AS id FROM u GROUP BY h HAVING count(*) > 1),
+x AS (SELECT cls, n, k.id AS h FROM u JOIN k USING (h)),
+p AS (SELECT x.cls AS a, y.cls AS b FROM x JOIN x y ON x.h = y.h AND x.cls < y.cls AND 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n) GROUP BY x.cls, y.cls, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+g AS (SELECT cls, cls AS top FROM c UNION SELECT e.b, g.top FROM g JOIN e ON e.a = g.cls AND g.top < e.b),
+t AS (SELECT g.cls, min(g.top) AS top FROM g GROUP BY g.cls),
+m AS (SELECT t.top, min(c.lo) AS component_id FROM t JOIN c USING (cls) GROUP BY t.top)
+SELECT s.doc_id::BIGINT AS doc_id, len(s.sh)::BIGINT AS n_shingles, CASE WHEN len(s.sh) = 0 THEN s.doc_id ELSE m.component_id END::BIGINT AS component_id,
+       s.doc_id IS NOT DISTINCT FROM (CASE WHEN len(s.sh) = 0 THEN s.doc_id ELSE m.component_id END) AS kept, coalesce(c.class_size, 1)::BIGINT AS class_size
+FROM s LEFT JOIN c ON c.sh = s.sh LEFT JOIN t ON t.cls = c.cls LEFT JOIN m ON m.top = t.top
+"""

@@ -30,6 +30,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from sumloom.llm import source_mix, substring_dedup
-
-    return {"op8_substring_dedup": substring_dedup.ORACLE_SQL, "op10_source_mix": source_mix.ORACLE_SQL}
+    modules = ("op1_minhash_dedup", "op6_vp_tree_search", "op7_backoff_scores", "op8_substring_dedup", "op10_source_mix")
+    return {name: importlib.import_module(f"sumloom.llm.{_NAMES[name]}").ORACLE_SQL for name in modules}

@@ -392,3 +392,15 @@ def search(vectors: DataFrame, is_query, k: int = 20, factor: float = 1.0, shard
 
 def op6_vp_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+# All pairs. Products are added as the operator adds them: eight lanes, then the lanes two by two (lengths in eights, to 128).
+ORACLE_SQL = r"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT vec_id, e FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i]) AS t FROM ok q JOIN ok v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id AND len(q.e) = len(v.e)),
+l AS (SELECT query_id, vec_id, list_transform(range(1, 9), lambda j: list_reduce(list_transform(range(0, len(t) // 8), lambda b: t[8 * b + j]), lambda x, y: x + y)) AS s FROM p),
+z AS (SELECT query_id, vec_id, ((s[1] + s[2]) + (s[3] + s[4])) + ((s[5] + s[6]) + (s[7] + s[8])) AS score FROM l),
+k AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM z)
+SELECT query_id::BIGINT AS query_id, rank::INT AS rank, vec_id::BIGINT AS vec_id, score FROM k WHERE rank <= 20
+"""

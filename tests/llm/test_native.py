@@ -1,4 +1,4 @@
-"""op8 and op10 against their SQL, and edge cases."""
+"""Queries against their SQL, and edge cases."""
 
 import os
 
@@ -33,7 +33,8 @@ def ordered(rows):
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     rel = con.sql(Q.oracle_sql()[name])
     want = [dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()]
     assert ordered(as_dicts(Q.queries()[name](spark, DATA))) == ordered(want)
@@ -109,3 +110,15 @@ def test_mix_plan_is_native(spark):
     docs = spark.createDataFrame([doc(1, "a b", "x")], SCHEMA)
     plan = source_mix.mix(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+ODD = [
+    doc(1, None), doc(2, ""), doc(3, " \t\n"), doc(4, "One two"), doc(5, "ONE\ttwo"), doc(6, words(0, 40)), doc(7, words(0, 40) + " x"), doc(8, words(0, 40) + " x y z"), doc(None, words(0, 40) + " x y"), doc(None, None),
+    doc(9, words(500, 530)), doc(9, words(500, 530)), doc(9, words(600, 640)), doc(10, words(600, 641)), doc(11, "é " + words(500, 530)), doc(12, " ".join(["a"] * 300)), doc(13, " ".join(["A"] * 300)), doc(14, "w1 w2 w3 w4 w5"), doc(15, words(0, 20_000)),
+]
+
+
+@pytest.mark.parametrize("name", ["op1_minhash_dedup", "op7_backoff_scores"])
+@pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
+def test_odd_rows_against_sql(spark, tmp_path, name, rows):
+    assert ordered(as_dicts(Q.queries()[name](spark, write(spark, rows, tmp_path)))) == ordered(run_sql(Q.oracle_sql()[name], rows))
