@@ -43,7 +43,7 @@ def quality_weight(text: Column | str, size: Column | str) -> Column:
     text, size = (F.col(x) if isinstance(x, str) else x for x in (text, size))
     solid = F.length(F.regexp_replace(text, SPACE, ""))
     letters = F.length(F.regexp_replace(text, NO_LETTER, ""))
-    variety = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))) / F.sqrt(2.0 * F.greatest(size, F.lit(1)))
+    variety = F.size(F.array_remove(F.array_distinct(F.split(text, SPACE + "+")), "")) / F.sqrt(2.0 * F.greatest(size, F.lit(1)))
     return F.coalesce(letters / F.greatest(solid, F.lit(1)) * F.least(F.lit(1.0), variety), F.lit(0.0))
 
 
