@@ -119,3 +119,14 @@ def test_plan_has_one_exchange(spark):
     plan = pl.fit_long(p, long_series(spark, CUBE[:, :1])).transform_long(long_series(spark, CUBE[:, :1]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("strategy", ["window", "arrow"])
+def test_small_pipeline_gives_copies_of_a_series_one_row(spark, strategy):
+    """Values that come back to the first one: sums that are 0 exactly, or nearly so by the order of adding."""
+    from sumloom.plans import catalog
+
+    x = np.random.default_rng(27).integers(0, 40, (60, 1, 80)) * 0.07 / 97
+    rows = table(pl.run(catalog.SMALL, long_series(spark, np.concatenate([x, x, x])), strategy))
+    np.testing.assert_array_equal(rows[:60], rows[60:120])
+    np.testing.assert_array_equal(rows[:60], rows[120:])
