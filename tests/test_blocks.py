@@ -54,6 +54,12 @@ def test_features_of_many_series_have_the_bits_of_a_few(monkeypatch):
         np.testing.assert_array_equal(bits(many + 0.0), bits(few + 0.0))
 
 
+def test_features_keep_no_derived_series():
+    y = np.random.default_rng(22).standard_normal((30, 50))
+    for sieve in (S.END(), S.END(cut=(5, -1)), S.MAX(), S.NPI()):
+        assert not np.shares_memory(sieve.arrays(y, y), y)
+
+
 def test_blocks_of_a_batch_are_bounded(spark):
     import pyarrow as pa
 
