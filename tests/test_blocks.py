@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from fixtures import packed_rows
 
 from sumloom.functions import arrays as A
 from sumloom.functions.paths import L1, Indices
@@ -88,3 +89,18 @@ def test_few_values_are_left_after_a_pass():
     upto = np.searchsorted(values, target.edges, side="right")
     g = int(np.searchsorted(upto, rank, side="right"))
     assert upto[g] - upto[g - 1] < 200 and len(target.edges) <= 2 * pl.FIT_EDGES
+
+
+def test_statistics_are_those_of_the_features(spark):
+    x = np.random.default_rng(26).standard_normal((150, 1, 12))
+    df = packed_rows(spark, x).select("series_id", "x").union(spark.createDataFrame([(999, [[]])], "series_id long, x array<array<double>>")).repartition(3)
+    p = pl.Pipeline(tuple(pl.Slice(s.preparateurs, s.sums, s.sieves, 1.0) for s in mixed()))
+    model = p.fit(df)
+    want = np.array([r.features for r in model.transform(df).collect()])
+    got = model.statistics(df).orderBy("feature").collect()
+    assert [r.feature for r in got] == list(range(len(p)))
+    for name, column in (("n", (want != 0).sum(axis=0)), ("low", want.min(axis=0)), ("high", want.max(axis=0))):
+        np.testing.assert_array_equal([r[name] for r in got], column)
+    np.testing.assert_allclose([r["mean"] for r in got], want.mean(axis=0), rtol=1e-9, atol=1e-12)
+
+
