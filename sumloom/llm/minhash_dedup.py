@@ -12,7 +12,9 @@ sets are one *class*; only classes go on. Classes that share a band are candidat
 
 so work inside a band is linear once its members are connected, and no link is skipped because a
 band is large. Every link is confirmed on the full shingle sets. Components come from alternating
-large-star and small-star steps.
+large-star and small-star steps, or from one task where links are few. Each table that is written
+costs as many tasks as there are shuffle partitions, however small it is, so only those are written
+that are read twice or let Spark split a join with a hub.
 
 Edge cases: null and empty texts, and texts of white space, have an empty set and link with
 nothing. With fewer than ``k`` words the whole sequence is the one shingle. Rows that repeat a
@@ -76,12 +78,25 @@ def _set_hashes(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
-SIGNED = "doc_id long, rid long, n_shingles long, cls long, cls2 long, bands array<long>, sig binary"
+def _minima(h: np.ndarray, cuts: np.ndarray, n: int) -> np.ndarray:
+    """The minima of ``n`` hash functions over the sets that begin at ``cuts`` and aren't empty, a row a set."""
+    minima = np.zeros((len(cuts), n), dtype=np.uint32)
+    if len(cuts):
+        a, b = _functions(n)
+        x = (h >> U64(32)).astype(np.uint32)
+        y = np.empty_like(x)
+        for i in range(n):
+            np.multiply(x, a[i], out=y)
+            np.add(y, b[i], out=y)
+            minima[:, i] = np.minimum.reduceat(y, cuts)
+    return minima
+
+
+SIGNED = "doc_id long, rid long, n_shingles long, cls long, cls2 long, bands array<long>"
 
 
 def _sign(bands: int, rows: int, k: int):
     def run(batches):
-        a, b = _functions(bands * rows)
         lift = powers(0x5851F42D4C957F2D, rows)
         for batch in batches:
             for part, buf, bounds in chunks(batch):
@@ -89,34 +104,23 @@ def _sign(bands: int, rows: int, k: int):
                 n = np.diff(at)
                 c1, c2 = _set_hashes(h, at)
                 full = np.flatnonzero(n > 0)
-                minima = np.zeros((len(full), bands * rows), dtype=np.uint32)
-                if len(full):
-                    x, cuts = (h >> U64(32)).astype(np.uint32), at[:-1][full]
-                    y = np.empty_like(x)
-                    for i in range(bands * rows):
-                        np.multiply(x, a[i], out=y)
-                        np.add(y, b[i], out=y)
-                        minima[:, i] = np.minimum.reduceat(y, cuts)
+                minima = _minima(h, at[:-1][full], bands * rows)
                 keys = (minima.reshape(len(full), bands, rows).astype(U64) * lift).sum(axis=2, dtype=U64)
                 keys = mix(keys + np.arange(1, bands + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
                 sizes = np.zeros(len(n) + 1, dtype=np.int32)
                 sizes[1:] = np.cumsum(np.where(n > 0, bands, 0))
-                low = (minima & np.uint32(255)).astype(np.uint8)
-                sig: list[bytes | None] = [None] * len(n)
-                for row, d in enumerate(full):
-                    sig[d] = low[row].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), part.column(part.schema.get_field_index("rid")), pa.array(n.astype(np.int64)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(sizes), pa.array(keys.ravel().view(np.int64))), pa.array(sig, type=pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(sizes), pa.array(keys.ravel().view(np.int64))),
                     ],
-                    names=["doc_id", "rid", "n_shingles", "cls", "cls2", "bands", "sig"],
+                    names=["doc_id", "rid", "n_shingles", "cls", "cls2", "bands"],
                 )
 
     return run
 
 
-SETS = "cls long, n long, sample array<long>, low binary, elements binary"
+SETS = "cls long, n long, sample array<long>, low binary, elements binary, sig binary"
 #: Sets up to this size are sampled whole, larger ones where a shingle's hash divides by 8.
 WHOLE = 256
 
@@ -125,20 +129,23 @@ def _sample(h: np.ndarray) -> np.ndarray:
     return h if len(h) <= WHOLE else h[h % U64(8) == 0]
 
 
-def _sets(k: int):
+def _sets(k: int, signature: int):
     def run(batches):
         for batch in batches:
             for _, buf, bounds in chunks(inflate(batch)):
                 h, at = shingle_sets(Words(buf, bounds, LOWER), k)
                 cls, _ = _set_hashes(h, at)
-                rows = [(int(cls[i].view(np.int64)), h[at[i] : at[i + 1]]) for i in range(len(cls)) if at[i + 1] > at[i]]
+                full = np.flatnonzero(np.diff(at) > 0)
+                rows = [(int(cls[i].view(np.int64)), h[at[i] : at[i + 1]]) for i in full]
+                sig = (_minima(h, at[:-1][full], signature) & np.uint32(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([c for c, _ in rows], pa.int64()), pa.array([len(x) for _, x in rows], pa.int64()),
                         pa.array([_sample(x).view(np.int64) for _, x in rows], pa.list_(pa.int64())),
                         pa.array([np.unique((_sample(x) >> U64(16)).astype(np.uint16)).tobytes() for _, x in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary()),
+                        pa.array([x.tobytes() for x in sig], pa.binary()),
                     ],
-                    names=["cls", "n", "sample", "low", "elements"],
+                    names=["cls", "n", "sample", "low", "elements", "sig"],
                 )
 
     return run
@@ -232,42 +239,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 75, bands: int
     shared = materialize(banded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("key"), "shared")
     members = materialize(banded.join(shared, "key").distinct(), "members")
     release(shared)
-    candidates = materialize(members.select("cls").distinct(), "candidates")
-    first = materialize(classes.join(candidates, "cls", "left_semi").select(F.col("first_row").alias("rid")).distinct(), "first")
-    sets = deflated(likely(texts.select("rid", "text"), first, "rid")).join(first.hint("merge"), "rid", "left_semi").mapInArrow(_sets(k), SETS)
-    sigs = signed.join(candidates, "cls", "left_semi").join(classes.select("cls", F.col("first_row").alias("rid")), ["cls", "rid"], "left_semi").select("cls", "sig").dropDuplicates(["cls"])
-    sets = materialize(sets.join(sigs, "cls").dropDuplicates(["cls"]), "sets")
-    release(candidates, first)
+    first = materialize(classes.join(members.select("cls").distinct(), "cls", "left_semi").select(F.col("first_row").alias("rid")), "first")
+    # Where rows with different texts share a rid, sets that are no candidates come along; no pair has them.
+    sets = deflated(likely(texts.select("rid", "text"), first, "rid")).join(first.hint("merge"), "rid", "left_semi").mapInArrow(_sets(k, bands * rows), SETS)
+    sets = materialize(sets.dropDuplicates(["cls"]), "sets")
+    release(first)
 
     # A sample of long sets will do: it only chooses the centres.
     own = sets.select("cls", F.explode("sample").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("cls").alias("cls")).where("c = 1").groupBy("cls").agg(F.count("*").alias("own"))
-    novelty = materialize(sets.select("cls", "n").join(own, "cls", "left").select("cls", (F.coalesce("own", F.lit(0)) / F.col("n")).alias("novelty")), "novelty")
+    novelty = sets.select("cls", "n").join(own, "cls", "left").select("cls", (F.coalesce("own", F.lit(0)) / F.col("n")).alias("novelty"))
     rated = members.join(novelty, "cls")
     centres = materialize(rated.groupBy("key").agg(F.min(F.struct("novelty", "cls")).alias("c")).select("key", F.col("c.cls").alias("centre")), "centres")
     pair = (F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b"))
     pairs = materialize(members.join(centres, "key").where("cls != centre").select(*pair).distinct(), "pairs")
     stars = materialize(_verified(pairs, sets, threshold), "stars")
-    release(novelty, centres, pairs)
+    release(centres, pairs)
     roots = connected_components(stars)
 
     placed = members.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     placed = materialize(placed, "placed")
     release(members, stars)
     split = materialize(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who")).where("lo != hi").groupBy("c", "who").agg(F.min("key").alias("key")).select("key"), "split")
-    open_ = materialize(placed.join(split, "key"), "open")
+    doubtful = materialize(placed.join(split, "key").groupBy("cls").agg(F.min("root").alias("root"), F.collect_set("key").alias("keys")), "doubtful")
     release(placed, split)
-    doubtful = materialize(open_.select("cls").distinct(), "doubtful")
-    unlike = sets.join(doubtful, "cls", "left_semi").select("cls", "elements").mapInArrow(_elements, "h long, cls long")
+    unlike = sets.join(doubtful.select("cls"), "cls", "left_semi").select("cls", "elements").mapInArrow(_elements, "h long, cls long")
     unlike = unlike.groupBy("h").agg(F.count("*").alias("c"), F.min("cls").alias("cls")).where("c = 1").groupBy("cls").agg(F.count("*").alias("u"))
-    able = sets.join(unlike, "cls", "left").select("cls", "n", "sig", "low", F.coalesce("u", F.lit(0)).alias("u")).where(f"100 * (n - u) >= {threshold} * n")
-    able_cls = materialize(able, "able")
-    able = able_open = materialize(open_.join(able_cls, "cls"), "able-open")
-    release(open_, doubtful, able_cls)
-    counted = materialize(able.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "counted")
-    able = materialize(able.join(counted, "key"), "able-counted")
-    release(able_open, counted)
-    keys = able.groupBy("cls").agg(F.collect_set("key").alias("keys"))
-    dealt = able.join(keys, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    able = sets.select("cls", "n", "sig", "low").join(doubtful, "cls").join(unlike, "cls", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    able = materialize(able.where(f"100 * (n - u) >= {threshold} * n"), "able")
+    release(doubtful)
+    met = able.withColumn("key", F.explode("keys"))
+    counted = met.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo != hi")
+    counted = materialize(counted.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "counted")
+    dealt = met.join(counted, "key").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # A block meets every block once: rows of the lower block are side 0, of the higher side 1, of one block alone 2.
     dealt = dealt.select(
@@ -276,7 +279,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 75, bands: int
     )
     rest = dealt.groupBy("key", "i", "j").applyInArrow(_across(threshold), "a long, b long").distinct()
     rest = materialize(rest, "rest")
-    release(able)
+    release(able, counted)
     links = _verified(rest, sets, threshold)
     top = roots.select("id", "root")
     joined = links.join(top.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(top.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
@@ -287,8 +290,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 75, bands: int
     homes = homes.join(merged.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", F.coalesce("top", "root")).select("cls", "first_doc", "class_size", "top")
     homes = materialize(homes, "homes")
     release(edges, merged, roots, classes)
-    least = materialize(homes.groupBy("top").agg(F.min("first_doc").alias("component_id")), "least")
-    named = materialize(homes.join(least, "top").select("cls", "class_size", "component_id"), "named")
+    # A class that is alone under its own top needs no row.
+    least = materialize(homes.groupBy("top").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("c")).where("c > 1").drop("c"), "least")
+    named = materialize(homes.join(least.withColumn("found", F.lit(True)), "top", "left").select("cls", "class_size", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("first_doc")).alias("component_id")), "named")
     release(homes, least)
     full = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "cls").join(named, "cls").select("doc_id", "n_shingles", "component_id", "class_size")
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))

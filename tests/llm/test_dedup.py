@@ -110,3 +110,63 @@ def test_filter_before_a_join_loses_no_row(spark):
         assert common.likely(rows, rows.select("n"), "n").count() == 40_000
     finally:
         common.FILTER_WORDS = words
+
+
+def labels_written(monkeypatch):
+    """Gets the label of every table that op1 and its components write."""
+    from sumloom.llm import components
+
+    labels = []
+    for module in (minhash_dedup, components):
+        monkeypatch.setattr(module, "materialize", lambda df, label, write=module.materialize: (labels.append(label), write(df, label))[1])
+    return labels
+
+
+@pytest.mark.parametrize("one_task", [True, False])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, one_task):
+    from sumloom.llm import components
+
+    rng = random.Random(11)
+    edges = [(i, i + 1) for i in range(-40, 40)] + [(500, i) for i in range(501, 560)] + [(2000 + rng.randrange(90), 2000 + rng.randrange(90)) for _ in range(70)] + [(2**62, -(2**62)), (7, 7), (6, 5), (5, 6)]
+    rng.shuffle(edges)
+    least = {x: x for e in edges for x in e if e[0] != e[1]}
+    while True:
+        now = dict(least)
+        for a, b in edges:
+            if a != b:
+                now[a] = now[b] = min(now[a], now[b])
+        if now == least:
+            break
+        least = now
+    labels = labels_written(monkeypatch)
+    if not one_task:
+        monkeypatch.setattr(components, "ONE_TASK", 0)
+    df = spark.createDataFrame([*edges, (None, 3)], "a long, b long").repartition(5)
+    assert {r.id: r.root for r in connected_components(df).collect()} == least
+    assert connected_components(df.where("a is null")).collect() == []
+    assert len(labels) == 4 if one_task else len(labels) > 10
+
+
+def test_few_tables_are_written(spark, monkeypatch):
+    """With many shuffle partitions a table costs seconds however small it is, so their number must not depend on the links."""
+    rng = random.Random(4)
+    rows, n = [], 0
+    for g in range(6):  # chains of near copies, and groups that share words only
+        words = [f"g{g}w{i}" for i in range(90)]
+        for _ in range(12):
+            words = [*words[4:], *(f"n{rng.randrange(10**6)}" for _ in range(4))]
+            rows.append((n := n + 1, " ".join(words)))
+        rows += [(n := n + 1, " ".join([*words[:70], *(f"m{rng.randrange(10**6)}" for _ in range(20))])) for _ in range(6)]
+    labels = labels_written(monkeypatch)
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(docs).collect()), key=repr)
+    assert got == brute(rows)
+    assert len(labels) <= 24, labels
+
+
+def test_rows_that_share_an_id_and_bring_other_texts(spark):
+    a, b, c = ([f"{x}{i}" for i in range(100)] for x in "abc")
+    texts = [a, [*a[1:], "z"], b, [*b[2:], "z"], c, a, b]
+    rows = [(1, " ".join(x)) for x in texts] + [(i, " ".join(x)) for i, x in ((4, c[3:]), (3, a[2:]), (2, [f"d{i}" for i in range(50)]))]
+    out = minhash_dedup.near_duplicates(spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr) == brute(rows)
