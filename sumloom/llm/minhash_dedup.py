@@ -270,7 +270,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 75, bands: int
     met = able.withColumn("key", F.explode("keys"))
     counted = met.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo != hi")
     counted = materialize(counted.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "counted")
-    dealt = met.join(counted, "key").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    met = materialize(met.join(counted, "key"), "able-counted")
+    release(able, counted)
+    dealt = met.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # A block meets every block once: rows of the lower block are side 0, of the higher side 1, of one block alone 2.
     dealt = dealt.select(
@@ -279,7 +281,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 75, bands: int
     )
     rest = dealt.groupBy("key", "i", "j").applyInArrow(_across(threshold), "a long, b long").distinct()
     rest = materialize(rest, "rest")
-    release(able, counted)
+    release(met)
     links = _verified(rest, sets, threshold)
     top = roots.select("id", "root")
     joined = links.join(top.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(top.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
